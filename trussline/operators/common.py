@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One test table; columns are pruned and filters pushed down by the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -24,18 +30,25 @@ def key_of(c: Column | str) -> Column:
     return F.nullif(blank_trim(c), F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="trussline-"))
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
+    """``df`` written once to the shared folder and read back, without its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set
-    only where the session names none (single-machine tests).
+    A written table costs one pass over the plan, where checkpoint() computes it twice. The
+    files outlive executors, and are dropped when the session's folder is.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trussline-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/trussline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hot_values(df: DataFrame, columns: Sequence[str], share: float = 0.02) -> dict[str, list[str]]:
