@@ -6,7 +6,7 @@ import re
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trussline.functions.exprs import number
@@ -84,10 +84,14 @@ def read_calendar(text: str | None) -> tuple[list[int], list[str], list[str]]:
     return sorted(work), sorted(holidays), sorted(special)
 
 
-@F.pandas_udf(SHAPE)
-def calendar_days(texts: pd.Series) -> pd.DataFrame:
-    """:func:`read_calendar` for a batch; calendars are few, and their grammar nests."""
-    return pd.DataFrame([read_calendar(t) for t in texts], columns=["work_days", "holidays", "special_workdays"])
+def calendar_days(texts: Column) -> Column:
+    """:func:`read_calendar` batch by batch; calendars are few, and their grammar nests."""
+
+    @F.pandas_udf(SHAPE)
+    def read(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_calendar(t) for t in batch], columns=["work_days", "holidays", "special_workdays"])
+
+    return read(texts)
 
 
 def calendar_map(calendar: DataFrame, order: str | None = None) -> DataFrame:
