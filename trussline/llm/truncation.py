@@ -22,9 +22,9 @@ TERMINAL_SHARE = 0.05
 #: The same for the last word alone.
 WORD_SHARE = 0.01
 
-# A word is a run of letters and digits (digits count as 0), one character of a script
-# without spaces, or a mark that ends a sentence.
-_WORD = r"[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]|[\\p{L}0.+-]+@[\\p{L}0.-]*|(?:(?![\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}])[\\p{L}\\p{M}0])+|[.!?。…:>-]"
+# A word is an e-mail address, a run of letters and digits (which count as 0), one
+# character of a script without spaces, or a mark that ends a sentence.
+_WORD = r"[\\p{L}0.+-]++@[\\p{L}0.-]*+|[\\p{L}\\p{M}0&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]++|[.!?。…:>-]|[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]"
 
 PREPARED = r"""
 with raw as (
@@ -40,7 +40,7 @@ worded as (
   select doc_id, source, edge <> '' and instr(t, concat('--', edge, '--')) = 0 as unclosed,
     edge <> '' and instr(t, concat('--', edge, '--')) > 0 as closed,
     qp and rlike(t, '=[0-9A-F]?\\s*$') as broken_escape, endswith(t, '\n\n') as parted,
-    regexp_extract_all(translate(regexp_replace(u, '(?m)^[A-Za-z0-9+/=]{40,}$', ' '), '123456789', '000000000'), '@word', 0) as w
+    regexp_extract_all(regexp_replace(u, '(?m)(?:^[A-Za-z0-9+/=]{40,}+$\\n?+)++|[1-9]', '0'), '@word', 0) as w
   from plain)
 select doc_id, source, unclosed, closed, broken_escape, parted, w, size(w) as n from worded
 """
@@ -107,9 +107,9 @@ def truncated(documents: DataFrame, frequent: int = FREQUENT, share: float = TER
     Null, empty and blank texts have no row. Counts run over all texts. A hot final trigram
     (a footer that a third of all texts end with) is counted before any join.
     """
-    words = _sql(PREPARED.replace("@word", _WORD), documents=documents)
+    words = cut(_sql(PREPARED.replace("@word", _WORD), documents=documents))
     inside = cut(_sql(INSIDE, words=words))
-    final = cut(_sql(FINAL, words=words))
+    final = _sql(FINAL, words=words)
     tri, word = _sql(OF_TRIGRAM, final=final, inside=inside), _sql(OF_WORD, final=final, inside=inside)
     return _sql(DECIDED.replace("@frequent", str(frequent)).replace("@share", str(share)).replace("@word_share", str(WORD_SHARE)), final=final, of_trigram=tri, of_word=word)
 
