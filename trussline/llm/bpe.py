@@ -66,7 +66,7 @@ def _fold(table: Column, word: Column) -> Column:
     the two ranks that it changes.
     """
     none = F.array().cast("array<int>")
-    letters = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: word.substr(i, F.lit(1)))
+    letters = F.split(word, "")
     ranked = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: _rank(table, F.concat(a, b)))
     start = _let(letters, lambda p: F.struct(p.alias("p"), ranked(p).alias("r")))
 
@@ -134,23 +134,22 @@ def token_ids(text: Column, path: str | None = None, known: dict[str, list[int]]
     the word alone, so nothing is shuffled and no key can be hot. ``known`` holds ids of
     words folded before (see :func:`frequent_words`); it saves time and changes no result.
     """
-    table = F.from_json(F.lit(_cells(path or vocabulary_path())), "array<map<string,int>>")
-    cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS if known else 1)]
-    for word, ids in (known or {}).items():
-        cells[zlib.crc32(word.encode()) % len(cells)][word] = ids
-    before = F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
+    place = path or vocabulary_path()
+    table = F.from_json(F.lit(_cells(place)), "array<map<string,int>>")
+    cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS)]
+    for word, ids in ({w: [r] for w, r in ranks(place).items()} | (known or {})).items():
+        cells[zlib.crc32(word.encode()) % CELLS][word] = ids
+    whole = F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
     def with_tables(t: Column) -> Column:
         def ids(w: Column) -> Column:
             cell = F.pmod(F.crc32(w.cast("binary")), F.lit(CELLS)).cast("int")
-            seen = lambda: _let(F.get(t["b"], cell)[w], lambda k: F.when(k.isNotNull(), k).otherwise(_folded(t["t"], w)))
-            other = seen() if known else _folded(t["t"], w)
-            return _let(_rank(t["t"], w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(other))
+            return _let(F.get(t["w"], cell)[w], lambda k: F.when(k.isNotNull(), k).otherwise(_folded(t["t"], w)))
 
         return F.flatten(F.transform(words, lambda word: _let(_bytes(word), ids)))
 
-    return F.coalesce(_let(F.struct(table.alias("t"), before.alias("b")), with_tables), F.array().cast("array<int>"))
+    return F.coalesce(_let(F.struct(table.alias("t"), whole.alias("w")), with_tables), F.array().cast("array<int>"))
 
 
 def frequent_words(documents: DataFrame, path: str | None = None, text: str = "text", sample: int = 3000, most: int = 20_000) -> dict[str, list[int]]:
