@@ -50,8 +50,12 @@ def _cells(path: str) -> str:
     return json.dumps(cells, separators=(",", ":"))
 
 
+def _cell(piece: Column) -> Column:
+    return F.crc32(piece.cast("binary")).bitwiseAND(CELLS - 1).cast("int")
+
+
 def _rank(table: Column, piece: Column) -> Column:
-    return F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(CELLS)).cast("int"))[piece]
+    return F.get(table, _cell(piece))[piece]
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -143,16 +147,16 @@ def token_ids(text: Column, path: str | None = None, known: dict[str, list[int]]
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
     def with_tables(t: Column) -> Column:
-        def ids(w: Column) -> Column:
-            cell = F.pmod(F.crc32(w.cast("binary")), F.lit(CELLS)).cast("int")
-            return _let(F.get(t["w"], cell)[w], lambda k: F.when(k.isNotNull(), k).otherwise(_folded(t["t"], w)))
+        def ids(ws: Column) -> Column:
+            seen = F.transform(ws, lambda w: F.get(t["w"], _cell(w))[w])
+            return F.flatten(F.zip_with(ws, seen, lambda w, k: F.when(k.isNotNull(), k).otherwise(_folded(t["t"], w))))
 
-        return F.flatten(F.transform(words, lambda word: _let(_bytes(word), ids)))
+        return _let(F.transform(words, _bytes), ids)
 
     return F.coalesce(_let(F.struct(table.alias("t"), whole.alias("w")), with_tables), F.array().cast("array<int>"))
 
 
-def frequent_words(documents: DataFrame, path: str | None = None, text: str = "text", sample: int = 3000, most: int = 20_000) -> dict[str, list[int]]:
+def frequent_words(documents: DataFrame, path: str | None = None, text: str = "text", sample: int = 6000, most: int = 40_000) -> dict[str, list[int]]:
     """Ids of words that recur in up to ``sample`` documents and are no vocabulary entries.
 
     At most ``most`` words; each distinct word is folded once. Only time depends on the draw.
