@@ -104,7 +104,8 @@ def _sql(query: str, **tables: DataFrame) -> DataFrame:
 def truncated(documents: DataFrame, frequent: int = FREQUENT, share: float = TERMINAL_SHARE) -> DataFrame:
     """doc_id, source, the final trigram with its counts, and ``is_cut``, for every text.
 
-    Null, empty and blank texts have no row. Counts run over all texts. A hot final trigram
+    Null, empty and blank texts have no row. A text of fewer than three words has no final
+    trigram and is judged by its structure alone, so never cut for its words. Counts run over all texts. A hot final trigram
     (a footer that a third of all texts end with) is counted before any join.
     """
     words = cut(_sql(PREPARED.replace("@word", _WORD), documents=documents))
