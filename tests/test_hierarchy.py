@@ -38,3 +38,22 @@ def test_long_chain_self_loop_and_empty(spark):
     got = {r.id: r for r in H.hierarchy(spark.createDataFrame(chain, S), "wbs_id", "parent_wbs_id").collect()}
     assert got["c0699"].depth == 699 and got["t"].cycle_id == "s" and not got["t"].on_cycle and got["s"].on_cycle
     assert H.hierarchy(spark.createDataFrame([], S), "wbs_id", "parent_wbs_id").count() == 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 3])
+def test_pairs_around_cycles(spark, limit):
+    rng = random.Random(7)
+    ids = [f"N{i:03d}" for i in range(120)]
+    links = {x: rng.choice([None, *ids[:i], *ids[max(0, i - 2) : i]]) for i, x in enumerate(ids)}
+    ring = [f"R{i}" for i in rng.sample(range(9), 9)]
+    links |= dict(zip(ring, [*ring[1:], ring[0]])) | {"s": "s", "t": "s", "u": "t", "h0": ring[4], "h1": "h0", "h2": "h1", "h3": ring[8], "a": "b", "b": "a"}
+    want = set()
+    for x in links:
+        seen, y = [], x
+        while y is not None and y not in seen:
+            seen.append(y)
+            y = links[y]
+        want |= {(a, x, n) for n, a in enumerate(seen) if n}
+    tree = H.hierarchy(spark.createDataFrame([(x, p, None, None) for x, p in links.items()], S), "wbs_id", "parent_wbs_id", max_component=limit)
+    got = [(r.id, r.below_id, r.levels) for r in H.all_below(tree, limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

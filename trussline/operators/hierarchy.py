@@ -133,7 +133,11 @@ def hierarchy(rows: DataFrame, node: str, parent: str, max_component: int = MAX_
     of more than ``max_component`` nodes are not put into one task: their paths are joined by
     pointer doubling instead, with the same result.
     """
-    comps = cut(components(links_of(rows, node, parent)))
+    return _placed(cut(components(links_of(rows, node, parent))), max_component)
+
+
+def _placed(comps: DataFrame, max_component: int) -> DataFrame:
+    """The rows of :data:`RESULT` for nodes with their components, by walks or by joins."""
     sizes = comps.groupBy("comp").count().where(F.col("count") > max_component).select("comp")
     large = [r["comp"] for r in sizes.toLocalIterator()]  # at most nodes / max_component of them
     small = comps.where(~F.col("comp").isin(large)) if large else comps
@@ -168,8 +172,36 @@ def _on_cycle(loops: DataFrame) -> DataFrame:
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(id, below_id, levels): every node below each node, one row per pair.
+    """(id, below_id, levels): every node below each node that has a root, one row per pair.
 
     The pairs are as many as the paths have members; no node's pairs are gathered in one row.
+    Nodes on or below a cycle have no path; :func:`below_cycles` gives theirs.
     """
     return tree.select(F.posexplode("path").alias("at", "id"), F.col("id").alias("below_id"), "depth").where("id <> below_id").select("id", "below_id", (F.col("depth") - F.col("at")).alias("levels"))
+
+
+def below_cycles(tree: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """(id, below_id, levels) for the nodes on or below a cycle, one row per pair.
+
+    Each node is below all nodes of the walk up its parents, which ends when the cycle has been
+    gone round once; ``levels`` are the steps to the first meeting. So the nodes of one cycle
+    are all below each other, and none is below itself.
+
+    Without the parent of its smallest id, a cycle and all below it form a tree, whose paths
+    hold the ancestors up to that id. Behind it follow the nodes of the cycle that the path
+    lacks, one at depth d of the tree as many steps away as the cycle's length is above d.
+    """
+    loops = cut(tree.where(F.col("cycle_id").isNotNull()).select("id", "parent", "cycle_id", "on_cycle"))
+    links = loops.select("id", F.when(F.col("id") != F.col("cycle_id"), F.col("parent")).alias("parent"), F.col("cycle_id").alias("comp"), F.lit(False).alias("cyclic"))
+    opened = cut(_placed(links, max_component).select("id", F.col("root").alias("cycle_id"), "depth", "path"))
+    on = opened.join(loops.where("on_cycle").select("id"), "id").select("cycle_id", F.col("id").alias("_id"), F.col("depth").alias("_at"))
+    ring = on.join(on.groupBy("cycle_id").agg(F.count(F.lit(1)).cast("int").alias("_round")), "cycle_id")
+    hot = hot_values(opened, ["cycle_id"])["cycle_id"]
+    met = salted_join(opened, ring, ["cycle_id"], F.col("cycle_id").isin(hot) if hot else F.lit(False), F.col("id"), "inner")
+    behind = met.where(~F.get("path", F.col("_at")).eqNullSafe(F.col("_id")))
+    return descendants(opened).unionByName(behind.select(F.col("_id").alias("id"), F.col("id").alias("below_id"), (F.col("depth") - F.col("_at") + F.col("_round")).alias("levels")))
+
+
+def all_below(tree: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """(id, below_id, levels): every node below each node, in trees and around cycles."""
+    return descendants(tree).unionByName(below_cycles(tree, max_component))

@@ -77,7 +77,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_below(spark: SparkSession, d: str) -> DataFrame:
-    pairs = hierarchy.descendants(_tree(spark, d))
+    pairs = hierarchy.all_below(_tree(spark, d))
     return pairs.select(F.col("id").alias("wbs_id"), F.col("below_id").alias("below_wbs_id"), F.col("levels").cast("long"))
 
 
