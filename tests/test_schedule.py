@@ -1,5 +1,7 @@
 """Small schedules with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,27 @@ def test_udfs_baselines_and_codes(spark):
     assert X.count_difference(a, b).first().delta == 2
     assert X.field_count_issues("24.12", spark.createDataFrame([("TASK", 60)], "table string, n_fields int")).first().expected == 61
     assert X.field_count_issues("7", spark.createDataFrame([("TASK", 60)], "table string, n_fields int")).count() == 0
+
+
+@pytest.mark.parametrize("most", [200, 5])
+def test_driving_paths_of_all_activities(spark, most):
+    rng = random.Random(most)
+    ids = range(1, 121)
+    tasks = [{"task_id": str(i), "task_code": f"c{i}", "status_code": rng.choice(["TK_NotStart"] * 9 + ["TK_Complete"]), "target_end_date": f"2026-{rng.randint(1, 12):02d}-09 16:00"} for i in ids]
+    links = {(i, j) for i in ids for j in rng.sample(range(max(1, i - 4), i), min(i - 1, 2))} | {(3, 9), (40, 40), (50, 60), (60, 50), (70, 90)}
+    _, t, e = tables(spark, tasks, [(str(i), str(j), "PR_FS", "0") for i, j in links] + [("5", "gone", "PR_FS", "0")])
+    past = {x["task_id"] for x in tasks if int(x["task_id"]) % 17 == 0}
+    t = t.withColumn("early_end_ts", F.when(F.col("task_id").isin(past), F.lit("2025-12-01 00:00").cast("timestamp_ntz")))
+    end = {int(x["task_id"]): "2025" if x["task_id"] in past else x["target_end_date"] for x in tasks}
+    halt = {int(x["task_id"]) for x in tasks if x["task_id"] in past or x["status_code"] == "TK_Complete"}
+    want = set()
+    for i in ids:
+        seen = [i]
+        while len(seen) <= most and (seen[-1] == i or seen[-1] not in halt):
+            before = sorted((j for k, j in links if k == seen[-1]), key=lambda j: (end[j], -j))
+            if not before or before[-1] in seen:
+                break
+            seen.append(before[-1])
+        want |= {(f"c{i}", n, f"c{j}") for n, j in enumerate(seen)}
+    got = [tuple(r) for r in S.driving_path(t, e, most=most).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

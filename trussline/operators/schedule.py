@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.exprs import days, has_hard, is_work, moment, number, number_or
-from trussline.operators.common import cut
+from trussline.operators.common import cut, hot_values, salted_join
 
 #: Projects with up to this many relationships are walked in one task; larger ones by joins.
 MAX_EDGES = 500_000
@@ -375,22 +375,31 @@ def drivers(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("task_id", "pred_task_id").join(end, "pred_task_id").withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("task_id", "pred_task_id")
 
 
-def driving_path(tasks: DataFrame, edges: DataFrame, codes: list[str], most: int = 200) -> DataFrame:
+def driving_path(tasks: DataFrame, edges: DataFrame, codes: list[str] | None = None, most: int = 200) -> DataFrame:
     """code, step, task_code: the driving chain back from each activity, step 0 being itself.
 
-    Stops at an activity without predecessor, one already met, one complete (included), one
-    that ends before its data date (included), or after ``most`` steps.
+    All activities are traced, or those with the given codes. A chain stops at an activity
+    without predecessor, one already met, one complete (included), one that ends before its
+    data date (included), or after ``most`` steps. Chains double in length each round, so
+    that log2(most) rounds of joins build all of them.
     """
-    drive = cut(drivers(tasks, edges))
-    t = cut(tasks.select("task_id", "task_code", (F.col("status_code") == "TK_Complete").alias("over"), F.coalesce("early_end_ts", "act_end_ts").alias("end"), "data_date"))
-    stop = F.col("over") | F.coalesce(F.col("end") < F.col("data_date"), F.lit(False))
-    at = t.where(F.col("task_code").isin(codes)).select(F.col("task_code").alias("code"), "task_id", "task_code", F.lit(False).alias("halt"), F.array("task_id").alias("seen"))
-    out, step = [at.select("code", F.lit(0).cast("long").alias("step"), "task_code")], 0
-    while step < most:
-        step += 1
-        nxt = at.where("not halt").join(drive, "task_id").select("code", F.col("pred_task_id").alias("task_id"), "seen").where(~F.array_contains("seen", F.col("task_id")))
-        at = cut(nxt.join(t, "task_id").select("code", "task_id", "task_code", stop.alias("halt"), F.concat("seen", F.array("task_id")).alias("seen")))
-        if at.isEmpty():
-            break
-        out.append(at.select("code", F.lit(step).cast("long").alias("step"), "task_code"))
-    return reduce(DataFrame.unionByName, out)
+    over = (F.col("status_code") == "TK_Complete") | F.coalesce(F.coalesce("early_end_ts", "act_end_ts") < F.col("data_date"), F.lit(False))
+    t = cut(tasks.select("task_id", "task_code", over.alias("halt")).join(drivers(tasks, edges), "task_id", "left"))
+    state = t.select("task_id", F.array(F.struct("task_id", "task_code")).alias("chain"), F.when(~F.col("halt"), F.col("pred_task_id")).alias("next"))
+    going = F.col("next").isNotNull() & (F.size("chain") < most)
+    while not (active := state.where(going)).isEmpty():
+        state = cut(_chained(active, state).unionByName(state.where(~going)))
+    first = t.where(F.col("task_code").isin(codes)) if codes is not None else t
+    begun = first.select("task_id", F.array(F.struct("task_id", "task_code")).alias("chain"), F.col("pred_task_id").alias("next"))
+    whole = _chained(begun.where("next is not null"), state).unionByName(begun.where("next is null"))
+    # What follows the first activity met again has been met, too: the distinct ones come first.
+    path = F.slice("chain", 1, F.least(F.size(F.array_distinct("chain.task_id")), F.lit(most + 1)))
+    return whole.select(F.get("chain", F.lit(0))["task_code"].alias("code"), F.posexplode(path).alias("step", "at")).select("code", F.col("step").cast("long"), F.col("at.task_code").alias("task_code"))
+
+
+def _chained(chains: DataFrame, state: DataFrame) -> DataFrame:
+    """``chains`` continued by the chain of the activity each of them leads to."""
+    ahead = state.select(F.col("task_id").alias("next"), F.col("chain").alias("_chain"), F.col("next").alias("_next"))
+    hot = hot_values(chains, ["next"])["next"]
+    met = salted_join(chains, ahead, ["next"], F.col("next").isin(hot) if hot else F.lit(False), F.col("task_id"), "inner")
+    return met.select("task_id", F.concat("chain", "_chain").alias("chain"), F.col("_next").alias("next"))

@@ -54,7 +54,7 @@ _MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "g17_path_groups": lambda t: S.path_groups(t.tasks),
     "g18_continuity_gaps": lambda t: S.continuity_gaps(t.edges),
     "g19_drivers": lambda t: S.drivers(t.tasks, t.edges),
-    "g19_driving_path": lambda t: S.driving_path(t.tasks, t.edges, [f"A{k:08d}" for k in range(101, 5000, 997)]),
+    "g19_driving_path": lambda t: S.driving_path(t.tasks, t.edges),
     "g21_profiles": lambda t: t.project.sparkSession.createDataFrame([(p, k, float(v)) for p, x in S.PROFILES.items() for k, v in x.items()], "profile string, threshold string, value double"),
 }
 QUERIES: dict[str, Query] = {name: partial(_of, make) for name, make in _MAKE.items()}
