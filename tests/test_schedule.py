@@ -121,3 +121,18 @@ def test_driving_paths_of_all_activities(spark, most):
         want |= {(f"c{i}", n, f"c{j}") for n, j in enumerate(seen)}
     got = [tuple(r) for r in S.driving_path(t, e, most=most).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_recommendations_for_the_whole_project(spark):
+    ids = [str(i) for i in range(1, 22)]
+    kinds = lambda tasks, edges: {(r.proj_id, r.priority, r.kind) for r in S.recommendations(*tables(spark, tasks, edges)[1:]).where("task_id is null").collect()}
+    free = [{"task_id": i, "total_float_hr_cnt": "160"} for i in ids]
+    links = [(b, a, "PR_FS", "-8" if int(a) < 12 else "0") for a, b in zip(ids, ids[1:], strict=False)]
+    few, leads, hard = ("1", 3, "few FS relationships"), ("1", 2, "leads off the critical path"), ("1", 2, "hard constraints on many activities")
+    assert kinds(free, links) == {leads}
+    assert kinds(free, [(b, a, k, "0" if a == "1" else lag) for b, a, k, lag in links]) == set()
+    assert kinds([dict(free[0], total_float_hr_cnt="0"), *free[1:]], links) == set()
+    assert kinds(free, [(b, a, "PR_SS" if int(a) < 5 else k, "0") for b, a, k, _ in links]) == set()
+    assert kinds(free, [(b, a, "PR_SS" if int(a) < 6 else k, "0") for b, a, k, _ in links]) == {few}
+    assert kinds([dict(free[0], cstr_type="CS_MSO"), *free[1:]], []) == set()
+    assert kinds([dict(t, cstr_type="CS_MSO") for t in free[:2]] + free[2:], []) == {hard}

@@ -256,8 +256,18 @@ def all_scores(project: DataFrame, tasks: DataFrame, edges: DataFrame) -> dict[s
 
 
 def recommendations(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per finding on an activity, by priority: 1 critical, 2 high, 3 medium."""
+    """One row per finding, by priority: 1 critical, 2 high, 3 medium.
+
+    Findings on a project as a whole have a null task_id: less than 80 % FS relationships,
+    more than 10 leads with none at a critical activity, and more than 5 % of the open
+    activities with a hard constraint.
+    """
+    tasks, edges = cut(tasks), cut(edges)  # each is read many times
     ends, oos_, loose = open_ends(tasks, edges), lags(edges), disconnected(tasks, edges)
+    own, lead = edges.where(F.col("succ_proj_id").isNotNull()), F.col("lag") < 0
+    links = own.groupBy(F.col("succ_proj_id").alias("proj_id")).agg(F.count(F.lit(1)).alias("n_rels"), F.count_if(F.col("pred_type") == "PR_FS").alias("n_fs"), F.count_if(lead).alias("n_leads"), F.count_if(lead & (F.col("succ_cp") | F.col("pred_cp"))).alias("n_cp_leads"))
+    bound = tasks.groupBy("proj_id").agg(F.count_if("open").alias("n_open"), F.count_if(F.col("open") & F.col("hard")).alias("n_hard"))
+    wide = lambda df: df.withColumn("task_id", F.lit(None).cast("string"))
     row = lambda df, prio, kind: df.select("proj_id", prio.cast("long").alias("priority"), F.lit(kind).alias("kind"), "task_id")
     one = F.lit(1)
     return reduce(DataFrame.unionByName, [
@@ -266,6 +276,9 @@ def recommendations(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         row(ends.where("no_succ"), F.when(F.col("cp"), 1).otherwise(2), "no successor"),
         row(oos_.where("lag < 0 and on_cp"), one, "lead on the critical path"),
         row(loose, F.when(F.col("cp"), 1).otherwise(2), "leads to no finish"),
+        row(wide(links.where("n_fs * 100 < 80 * n_rels")), F.lit(3), "few FS relationships"),
+        row(wide(links.where("n_leads > 10 and n_cp_leads = 0")), F.lit(2), "leads off the critical path"),
+        row(wide(bound.where("n_hard * 100 > 5 * n_open")), F.lit(2), "hard constraints on many activities"),
     ])
 
 
