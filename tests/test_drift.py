@@ -45,6 +45,15 @@ def test_unified_follows_renames(spark):
     assert all(set(r.fields) == {"task_id", "a"} for r in rows)
 
 
+def test_a_reused_name_is_a_field_of_its_own(spark):
+    files = {1: ["a"], 2: ["b"], 3: ["a", "b"], 4: ["a"], 5: ["a", "b"]}
+    told = {"1a": 0, "2b": 0, "3a": 100, "3b": 0, "4a": 100, "5a": 100, "5b": 200}
+    made = {n: [{"task_id": str(i)} | {f: i + told[f"{n}{f}"] for f in names} for i in range(5)] for n, names in files.items()}
+    got = {(r.file_no, r.row_no): {k: int(v) for k, v in r.fields.items() if k != "task_id"} for r in R.unified(feed(spark, made)).collect()}
+    want = {1: {"a": 0}, 2: {"a": 0}, 3: {"a@3": 100, "a": 0}, 4: {"a@3": 100}, 5: {"a@3": 100, "a": 200}}
+    assert got == {(n, i): {k: v + i for k, v in x.items()} for n, x in want.items() for i in range(5)}
+
+
 def test_flooding_prefers_like_names_and_types_without_values():
     s = R.flood([("crt_path_num", ["integer"]), ("note", ["string"])], [("crt_path_no", ["integer"]), ("remark", ["string"])], {})
     assert s["crt_path_num", "crt_path_no"] > max(s["crt_path_num", "remark"], s["note", "crt_path_no"])

@@ -195,23 +195,41 @@ def changes_of(pairs: DataFrame, matched: DataFrame) -> DataFrame:
     return wide.select(*FILE, F.inline(every))
 
 
-def canonical_names(pairs: DataFrame, matched: DataFrame, rounds: int = 64) -> DataFrame:
+def _replay(key: tuple, files: pd.DataFrame, matched: pd.DataFrame) -> pd.DataFrame:
+    """The fields of one feed, file by file: names that are not the field's first name."""
+    renamed: dict[int, list[tuple[str, str]]] = {}
+    for r in matched.itertuples(index=False):
+        renamed.setdefault(r.file_no, []).append((r.gone, r.come))
+    out, now, past = [], {}, {}
+    for r in files.sort_values("file_no").itertuples(index=False):
+        moved = renamed.get(r.file_no, [])
+        then = {n: now[n] for n in r.names if n in now} | {come: now[gone] for gone, come in moved}
+        past |= now
+        for gone, _ in moved:
+            past.pop(gone, None)
+        for n in sorted(n for n in r.names if n not in then):
+            own = past.get(n, n)
+            if own in then.values():
+                own = f"{n}@{r.file_no}"
+            while own in then.values():
+                own += "'"
+            then[n] = own
+        now = then
+        out += [(key[0], r.file_no, n, own) for n, own in now.items() if n != own]
+    return pd.DataFrame(out, columns=["feed_code", "file_no", "name", "first_name"])
+
+
+def canonical_names(schemas: DataFrame, matched: DataFrame) -> DataFrame:
     """feed_code, file_no, name, first_name: the name a renamed field had when it appeared.
 
-    A chain of renames within a feed is followed file by file with a bounded number of
-    passes over the renames alone; ``rounds`` bounds the times one field is renamed.
+    The files of a feed are followed in order, in one task: names and renames alone, so as
+    many rows as the feed has files. A field that comes again keeps the name it had. If another
+    field holds that by then (it was renamed, and the old name is given anew), the later one
+    is called by its name and its file's number, as in ``crt_path_num@5``: no two fields
+    of a file share a first name.
     """
-    links = matched.select("feed_code", "file_no", "gone", "come")
-    chain = links.select("feed_code", F.col("file_no").alias("since"), F.col("come").alias("name"), F.col("gone").alias("first_name"), F.col("file_no").alias("at"))
-    for _ in range(rounds):
-        prior = links.select("feed_code", F.col("file_no").alias("p_no"), F.col("come").alias("first_name"), F.col("gone").alias("p_name"))
-        by = Window.partitionBy("feed_code", "since", "name", "at", "first_name").orderBy(F.col("p_no").desc_nulls_last())
-        step = chain.join(prior, ["feed_code", "first_name"], "left").withColumn("p_no", F.when(F.col("p_no") < F.col("at"), F.col("p_no"))).withColumn("_rn", F.row_number().over(by)).where("_rn = 1")
-        step = cut(step.select("feed_code", "since", "name", F.when(F.col("p_no").isNotNull(), F.col("p_name")).otherwise(F.col("first_name")).alias("first_name"), F.when(F.col("p_no").isNotNull(), F.col("p_no")).otherwise(F.lit(-1)).alias("at")))
-        chain = step
-        if step.where("at >= 0").isEmpty():
-            break
-    return chain.select("feed_code", "since", "name", "first_name")
+    files = schemas.select(*FILE, F.col("fields.name").alias("names"))
+    return files.groupBy("feed_code").cogroup(matched.groupBy("feed_code")).applyInPandas(_replay, "feed_code string, file_no int, name string, first_name string")
 
 
 def unified(feed: DataFrame) -> DataFrame:
@@ -224,9 +242,7 @@ def unified(feed: DataFrame) -> DataFrame:
     rows = parsed(feed)
     schemas = cut(file_schemas(rows))
     pairs = cut(file_pairs(schemas))
-    names = canonical_names(pairs, cut(renames(rows, pairs)))
-    held = schemas.select(*FILE, F.explode("fields.name").alias("name"))
-    told = held.join(names, ["feed_code", "name"]).where(F.col("since") <= F.col("file_no")).groupBy(*FILE, "name").agg(F.max_by("first_name", "since").alias("first_name"))
+    told = canonical_names(schemas, cut(renames(rows, pairs)))
     of_file = schemas.select(*FILE).join(told.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", "first_name"))).alias("firsts")), FILE, "left")
     first = lambda n: F.coalesce(F.element_at("firsts", n), n)
     cells = F.transform("cells", lambda c: F.struct(first(c["name"]).alias("name"), c["val"].alias("val")))
