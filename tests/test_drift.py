@@ -54,6 +54,11 @@ def test_a_reused_name_is_a_field_of_its_own(spark):
     assert got == {(n, i): {k: v + i for k, v in x.items()} for n, x in want.items() for i in range(5)}
 
 
+def test_any_number_of_renames_is_followed(spark):
+    rows = R.unified(feed(spark, {n: [{"task_id": "1", f"f{n}": 7}] for n in range(1, 81)})).collect()
+    assert len(rows) == 80 and all(r.fields == {"task_id": "1", "f1": "7"} for r in rows)
+
+
 def test_flooding_prefers_like_names_and_types_without_values():
     s = R.flood([("crt_path_num", ["integer"]), ("note", ["string"])], [("crt_path_no", ["integer"]), ("remark", ["string"])], {})
     assert s["crt_path_num", "crt_path_no"] > max(s["crt_path_num", "remark"], s["note", "crt_path_no"])
