@@ -102,3 +102,11 @@ def test_cut_texts_are_found(spark):
     shares = truncation.truncation_shares(docs(spark, texts)).first()
     assert shares.n_cut == len(want) and shares.n_texts == len(texts) - 3
     assert truncation.truncated(docs(spark, [])).count() == 0
+
+
+def test_cut_within_a_long_address(spark):
+    address = "site.office.and.document.control@northern-contractors.example"
+    whole = [f"Please {w} write to {w}{w} {address} before the gate is locked." for w in ("".join(x) for x in zip("abcdefghijklmnopqrstuvwxyz" * 2, "nopqrstuvwxyzabcdefghijklm" * 2, strict=True))]
+    texts = [*whole, f"The planner asks quickly {address[:45]}", f"The planner asks slowly {address}"]
+    got = {r.doc_id for r in truncation.truncated(docs(spark, texts)).where("is_cut").collect()}
+    assert got == {len(whole)}

@@ -69,13 +69,17 @@ select e.a, e.b, any_value(e.n_end) as n_end, coalesce(sum(case when i.b = e.b t
 from ends e left join @inside i on i.a = e.a group by e.a, e.b
 """
 
-# The same for the final word alone; words are met by their beginnings.
+# The same for the final word alone; words are met by their beginnings, those of more than
+# 32 characters by the first 32 and then as a whole.
 OF_WORD = """
 with ends as (select b, count(*) as w_end from @final where not closed group by b),
 words as (select b, sum(n) as n from @inside group by b),
 begun as (select start, sum(case when start = b then n end) as w_same, sum(case when start <> b then n end) as w_longer
-  from (select b, n, explode(transform(sequence(1, least(length(b), 32)), i -> left(b, i))) as start from words) group by start)
-select e.b, e.w_end, coalesce(w_same, 0) as w_same, coalesce(w_longer, 0) as w_longer from ends e left join begun on begun.start = e.b
+  from (select b, n, explode(transform(sequence(1, least(length(b), 32)), i -> left(b, i))) as start from words) group by start),
+lengthy as (select e.b, sum(case when w.b = e.b then w.n end) as w_same, sum(case when w.b <> e.b and startswith(w.b, e.b) then w.n end) as w_longer
+  from (select b, left(b, 32) as start from ends where length(b) > 32) e join (select b, n, left(b, 32) as start from words where length(b) > 32) w on w.start = e.start group by e.b)
+select e.b, e.w_end, coalesce(begun.w_same, l.w_same, 0) as w_same, coalesce(begun.w_longer, l.w_longer, 0) as w_longer
+from ends e left join begun on begun.start = e.b left join lengthy l on l.b = e.b
 """
 
 # A text is cut if its structure is open, or, without a mark at its end that ends sentences,
