@@ -1,9 +1,10 @@
 """Byte-level BPE of a public tokenizer in Spark's own higher-order functions.
 
 Words are cut out by the tokenizer's pattern. A word that is a vocabulary entry is one id;
-any other is a fold over its bytes: each step merges the adjacent pair of least rank, until
-no pair has one. Ranks come from a literal map, laid out as an array of small maps by the
-CRC of the key, so that a look-up is constant time. Decoding concatenates the pieces.
+every other distinct word is folded once over the array of its bytes' ids: each step merges
+the adjacent pair of least rank, until no pair has one. The rank of a pair, which is also the
+id of the merged piece, comes from a literal map laid out so that a look-up is two array
+reads. Decoding concatenates the binary pieces.
 """
 
 from __future__ import annotations
@@ -13,13 +14,20 @@ import json
 import zlib
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the literal rank map.
+#: Cells of the literal map of whole words.
 CELLS = 1 << 16
 #: Words of more bytes are folded by merging every occurrence of the best pair at once.
 LONG = 48
+#: Words of a text among which equal ones are folded once; bounds each look-up among them.
+CHUNK = 512
+#: The rank of a pair that is never merged, and the id beside the first and the last piece.
+NEVER = 0xFFFF
+#: Where the rows without entries begin: behind the end of the table.
+BEYOND = 1 << 24
 # Fixed value: the pattern that cuts text into words, in Java's syntax.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 OPEN, SHUT = "Ā", "ā"
@@ -42,20 +50,70 @@ def ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
 
 
+def merges(of: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(left id, right id, rank) of each piece of two bytes or more: what is left of its bytes
+    when all merges of lower rank are done. The id of a piece is its rank."""
+    out = []
+    for piece, rank in of.items():
+        parts = list(piece)
+        while len(parts) > 2:
+            known = [(r, i) for i in range(len(parts) - 1) if (r := of.get(parts[i] + parts[i + 1], rank)) < rank]
+            if not known:
+                break
+            at = min(known)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            out.append((of[parts[0]], of[parts[1]], rank))
+    return out
+
+
 @lru_cache(maxsize=2)
-def _cells(path: str) -> str:
-    cells: list[dict[str, int]] = [{} for _ in range(CELLS)]
-    for piece, rank in ranks(path).items():
-        cells[zlib.crc32(piece.encode()) % CELLS][piece] = rank
-    return json.dumps(cells, separators=(",", ":"))
+def _pair_table(path: str) -> str:
+    """The ranks of all pairs as one array: row ``left`` begins at ``at[left]``, and the rank
+    of (left, right) stands ``right`` places on, beside ``left + 1``. Rows interlock: the wide
+    ones take the first place where their entries meet empty cells, single entries fill up."""
+    rows: dict[int, dict[int, int]] = {}
+    for left, right, rank in merges(ranks(path)):
+        rows.setdefault(left, {})[right] = rank
+    used, free, begin = np.zeros(1 << 20, dtype=bool), NEVER, [BEYOND] * (NEVER + 1)
+    cells: dict[int, int] = {}
+    for left, row in sorted(rows.items(), key=lambda kv: (-len(kv[1]), kv[0])):
+        at = np.array(sorted(row))
+        while used[free]:
+            free += 1
+        move = free - int(at[0])
+        while len(at) > 1:
+            fits = ~used[(move + np.arange(256))[:, None] + at].any(axis=1)
+            if fits.any():
+                move += int(fits.argmax())
+                break
+            move += 256
+            free = max(free, move + int(at[0]) - 4096)
+        begin[left] = move
+        used[at + move] = True
+        cells |= {right + move: left + 1 << 16 | rank for right, rank in row.items()}
+    low = min(cells)
+    return json.dumps({"at": [b - low for b in begin], "cells": [cells.get(i, 0) for i in range(low, max(cells) + 1)], "byte": [ranks(path)[chr(i)] for i in range(256)]}, separators=(",", ":"))
+
+
+def _pairs(path: str) -> Column:
+    return F.from_json(F.lit(_pair_table(path)), "at array<int>, cells array<bigint>, byte array<bigint>")
+
+
+def _whole(path: str, known: dict[str, list[int]] | None = None) -> Column:
+    """Literal map from a word to its ids: vocabulary entries, and words folded before."""
+    cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS)]
+    for word, ids in ({w: [r] for w, r in ranks(path).items()} | (known or {})).items():
+        cells[zlib.crc32(word.encode()) % CELLS][word] = ids
+    return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
 
 
-def _cell(piece: Column) -> Column:
-    return F.crc32(piece.cast("binary")).bitwiseAND(CELLS - 1).cast("int")
+def _ids_of(whole: Column, word: Column) -> Column:
+    return F.get(whole, F.crc32(word.cast("binary")).bitwiseAND(CELLS - 1).cast("int"))[word]
 
 
-def _rank(table: Column, piece: Column) -> Column:
-    return F.get(table, _cell(piece))[piece]
+def _rank(whole: Column, piece: Column) -> Column:
+    return F.when(F.size(_ids_of(whole, piece)) == 1, F.get(_ids_of(whole, piece), F.lit(0)))
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -63,44 +121,42 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold(table: Column, word: Column) -> Column:
-    """Pieces of a word, merging the leftmost pair of least rank in each step.
+def _fold(pairs: Column, word: Column) -> Column:
+    """Ids of a word, merging the leftmost pair of least rank in each step.
 
-    The fold's state holds the pieces and the ranks of the adjacent pairs; a merge looks up
-    the two ranks that it changes.
+    The state has a number for each piece: the rank of the pair that it begins, then its id.
+    So the least number tells the pair and the id it becomes, and a merge changes the two
+    numbers that name it. The state begins and ends with a neighbour that is no piece.
     """
-    none = F.array().cast("array<int>")
-    letters = F.split(word, "")
-    ranked = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: _rank(table, F.concat(a, b)))
-    start = _let(letters, lambda p: F.struct(p.alias("p"), ranked(p).alias("r")))
+    none = F.lit(NEVER << 16 | NEVER).cast("long")
+    own = lambda e: e.bitwiseAND(NEVER)
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+    def numbered(left: Column, right: Column) -> Column:
+        # The cell of another row differs in its upper bits, and like none it counts as never.
+        cell = F.get(pairs["cells"], (F.get(pairs["at"], left.cast("int")) + right).cast("int"))
+        rank = F.least(cell.bitwiseXOR(F.shiftleft(left + 1, 16)), F.lit(NEVER).cast("long"))
+        return F.shiftleft(rank, 16).bitwiseOR(left)
 
-        def at_place(k: Column) -> Column:
-            def merged(x: Column) -> Column:
-                left = F.when(k > 1, F.concat(F.slice(r, F.lit(1), k - 2), F.array(_rank(table, F.concat(F.get(p, k - 2), x))))).otherwise(none)
-                right = F.when(k < F.size(r), F.concat(F.array(_rank(table, F.concat(x, F.get(p, k + 1)))), F.slice(r, k + 2, F.size(r)))).otherwise(none)
-                return F.struct(F.concat(F.slice(p, F.lit(1), k - 1), F.array(x), F.slice(p, k + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
+    def start(ids: Column) -> Column:
+        return F.concat(F.array(none), F.zip_with(ids, F.concat(F.slice(ids, F.lit(2), F.size(ids)), F.array(F.lit(NEVER).cast("long"))), numbered), F.array(none))
 
-            return F.when(k > 0, _let(F.concat(F.get(p, k - 1), F.get(p, k)), merged)).otherwise(acc)
+    def step(state: Column, _: Column) -> Column:
+        def merged(least: Column) -> Column:
+            new = F.shiftright(least, 16)
 
-        return _let(F.array_min(r), lambda m: F.when(m.isNull(), acc).otherwise(_let(F.array_position(r, m).cast("int"), at_place)))
+            def at(k: Column) -> Column:
+                two = F.array(numbered(own(F.get(state, k - 2)), new), numbered(new, own(F.get(state, k + 1))))
+                return F.concat(F.slice(state, F.lit(1), k - 2), two, F.slice(state, k + 2, F.size(state)))
 
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda acc: acc["p"])
+            return F.when(least >= NEVER << 16, state).otherwise(_let(F.array_position(state, least).cast("int"), at))
 
-    def of_three(two: Column) -> Column:
-        a, b, c = (word.substr(F.lit(i), F.lit(1)) for i in (1, 2, 3))
-        first, second = _rank(table, F.concat(a, b)), two
-        return F.when(F.coalesce(first, F.lit(1 << 30)) <= F.coalesce(second, F.lit(1 << 30)), F.when(first.isNull(), F.array(a, b, c)).otherwise(F.array(F.concat(a, b), c))).otherwise(F.array(a, F.concat(b, c)))
+        return _let(F.array_min(state), merged)
 
-    # The shortest words need no fold: a word of two bytes that is no entry stays in two, and
-    # of a word of three one pair at most is merged.
-    short = F.when(F.length(word) == 2, F.array(word.substr(F.lit(1), F.lit(1)), word.substr(F.lit(2), F.lit(1))))
-    return short.when(F.length(word) == 3, _let(_rank(table, word.substr(F.lit(2), F.lit(2))), of_three)).otherwise(folded)
+    ids = F.transform(F.split(word, ""), lambda c: F.get(pairs["byte"], F.ascii(c)))
+    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _let(ids, start), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda e: own(e).cast("int")))
 
 
-def _fold_long(table: Column, word: Column) -> Column:
+def _fold_long(whole: Column, word: Column) -> Column:
     """The same for a long word: pieces in brackets, a pair is merged wherever it occurs."""
     inner = lambda s: F.split(s.substr(F.lit(2), F.length(s) - 2), SHUT + OPEN)
     start = F.struct(F.concat(F.lit(OPEN), F.array_join(F.split(word, ""), SHUT + OPEN), F.lit(SHUT)).alias("s"), F.lit(True).alias("go"))
@@ -113,12 +169,12 @@ def _fold_long(table: Column, word: Column) -> Column:
             return F.when(best.isNotNull(), F.struct(new.alias("s"), F.lit(True).alias("go"))).otherwise(F.struct(acc["s"].alias("s"), F.lit(False).alias("go")))
 
         def best(p: Column) -> Column:
-            pairs = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: _rank(table, F.concat(a, b)))
+            pairs = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: _rank(whole, F.concat(a, b)))
             return _let(pairs, lambda r: _let(F.array_position(r, F.array_min(r)).cast("int"), lambda at: F.when(at > 0, F.struct(F.get(p, at - 1).alias("a"), F.get(p, at).alias("b")))))
 
         return F.when(acc["go"], _let(_let(inner(acc["s"]), best), merged)).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: inner(acc["s"]))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: F.transform(inner(acc["s"]), lambda x: _rank(whole, x)))
 
 
 def _bytes(word: Column) -> Column:
@@ -126,47 +182,53 @@ def _bytes(word: Column) -> Column:
     return F.when(F.length(word) == F.octet_length(word), word).otherwise(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
 
 
-def _folded(table: Column, w: Column) -> Column:
-    pieces = F.when(F.length(w) <= LONG, _fold(table, w)).otherwise(_fold_long(table, w))
-    return F.transform(pieces, lambda x: _rank(table, x))
+def _folded(pairs: Column, whole: Column, w: Column) -> Column:
+    return F.when(F.length(w) <= LONG, _fold(pairs, w)).otherwise(_fold_long(whole, w))
 
 
 def token_ids(text: Column, path: str | None = None, known: dict[str, list[int]] | None = None) -> Column:
     """Token ids of a text, without special tokens; an empty array for a null or empty text.
 
     Strings that look like control tokens are ordinary text. Each word's result depends on
-    the word alone, so nothing is shuffled and no key can be hot. ``known`` holds ids of
-    words folded before (see :func:`frequent_words`); it saves time and changes no result.
+    the word alone, so nothing is shuffled and no key can be hot; equal words of one chunk of
+    a text are folded once. ``known`` holds ids of words folded before (see
+    :func:`frequent_words`); it saves time and changes no result.
     """
     place = path or vocabulary_path()
-    table = F.from_json(F.lit(_cells(place)), "array<map<string,int>>")
-    cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS)]
-    for word, ids in ({w: [r] for w, r in ranks(place).items()} | (known or {})).items():
-        cells[zlib.crc32(word.encode()) % CELLS][word] = ids
-    whole = F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
+    tables = F.struct(_pairs(place).alias("pairs"), _whole(place, known).alias("whole"))
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
     def with_tables(t: Column) -> Column:
-        def ids(ws: Column) -> Column:
-            seen = F.transform(ws, lambda w: F.get(t["w"], _cell(w))[w])
-            return F.flatten(F.zip_with(ws, seen, lambda w, k: F.when(k.isNotNull(), k).otherwise(_folded(t["t"], w))))
+        def of_chunk(ws: Column) -> Column:
+            def ids(seen: Column) -> Column:
+                open_ = F.array_distinct(F.filter(F.zip_with(ws, seen, lambda w, k: F.when(k.isNull(), w)), lambda w: w.isNotNull()))
+                folded = _let(open_, lambda u: F.map_from_arrays(u, F.transform(u, lambda w: _folded(t["pairs"], t["whole"], w))))
+                return _let(folded, lambda own: F.flatten(F.zip_with(ws, seen, lambda w, k: F.coalesce(k, own[w]))))
+
+            return _let(F.transform(ws, lambda w: _ids_of(t["whole"], w)), ids)
+
+        def of_text(ws: Column) -> Column:
+            first = F.sequence(F.lit(1), F.size(ws), F.lit(CHUNK))
+            return F.when(F.size(ws) > 0, F.flatten(F.transform(first, lambda i: _let(F.transform(F.slice(ws, i, F.lit(CHUNK)), _bytes), of_chunk))))
 
-        return _let(F.transform(words, _bytes), ids)
+        return _let(words, of_text)
 
-    return F.coalesce(_let(F.struct(table.alias("t"), whole.alias("w")), with_tables), F.array().cast("array<int>"))
+    return F.coalesce(_let(tables, with_tables), F.array().cast("array<int>"))
 
 
-def frequent_words(documents: DataFrame, path: str | None = None, text: str = "text", sample: int = 6000, most: int = 40_000) -> dict[str, list[int]]:
-    """Ids of words that recur in up to ``sample`` documents and are no vocabulary entries.
+def frequent_words(documents: DataFrame, path: str | None = None, text: str = "text", sample: int = 6000, most: int = 20_000, seed: int = 42) -> dict[str, list[int]]:
+    """Ids of words that recur in a seeded draw of about ``sample`` documents and are no
+    vocabulary entries.
 
     At most ``most`` words; each distinct word is folded once. Only time depends on the draw.
     """
-    table = F.from_json(F.lit(_cells(path or vocabulary_path())), "array<map<string,int>>")
-    drawn = documents.select(text).where(F.col(text).isNotNull()).limit(sample)
+    place = path or vocabulary_path()
+    drawn = documents.select(text).sample(min(1.0, sample / max(1, documents.count())), seed)
     words = drawn.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0))).alias("w")).groupBy("w").count().where("count > 1")
-    open_ = words.select(_bytes(F.col("w")).alias("w"), "count").where(_let(table, lambda t: _rank(t, F.col("w"))).isNull())
+    open_ = words.select(_bytes(F.col("w")).alias("w"), "count").where(_let(_whole(place), lambda t: _ids_of(t, F.col("w"))).isNull())
     top = open_.orderBy(F.col("count").desc(), "w").limit(most)
-    return {r["w"]: r["ids"] for r in top.select("w", _let(table, lambda t: _folded(t, F.col("w"))).alias("ids")).collect()}
+    tables = F.struct(_pairs(place).alias("pairs"), _whole(place).alias("whole"))
+    return {r["w"]: r["ids"] for r in top.select("w", _let(tables, lambda t: _folded(t["pairs"], t["whole"], F.col("w"))).alias("ids")).collect()}
 
 
 def encode(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -175,8 +237,13 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text") ->
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
-    """Text of token ids: their binary pieces, concatenated. Null ids give null."""
-    pieces = [p for p, _ in sorted(ranks(path or vocabulary_path()).items(), key=lambda kv: kv[1])]
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    joined = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
-    return F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8")
+    """Text of token ids: their binary pieces, concatenated. Null ids give null.
+
+    Runs of pieces are concatenated first, as many in a run as there are runs.
+    """
+    pieces = [base64.b64encode(p.encode("latin-1")).decode() for p, _ in sorted(ranks(path or vocabulary_path()).items(), key=lambda kv: kv[1])]
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+    joined = lambda xs: F.aggregate(xs, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
+    run = F.ceil(F.sqrt(F.size(ids))).cast("int")
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(ids), run), lambda i: joined(F.transform(F.slice(ids, i, run), lambda k: F.get(t, k))))
+    return F.when(F.size(ids) > 0, F.decode(joined(_let(table, runs)), "UTF-8")).when(ids.isNotNull(), "")
