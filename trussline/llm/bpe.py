@@ -27,7 +27,6 @@ CHUNK = 512
 NEVER = 0xFFFF
 # Fixed value: the pattern that cuts text into words, in Java's syntax, without needless backtracking.
 WORDS = r"'(?:[stmd]|re|ve|ll)| ?+\p{L}++| ?+\p{N}++| ?+[^\p{IsWhite_Space}\p{L}\p{N}]++|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-OPEN, SHUT = "Ā", "ā"
 
 
 def vocabulary_path() -> str:
@@ -125,9 +124,15 @@ def spark_hash(data: bytes) -> int:
 
 
 def _whole(path: str, known: dict[str, list[int]] | None = None) -> Column:
-    """Literal map from a word to its ids: vocabulary entries, and words folded before."""
+    """Literal map from a word to its ids: vocabulary entries that are text, and words folded before."""
     cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS)]
-    for word, ids in ({w: [r] for w, r in ranks(path).items()} | (known or {})).items():
+    entries: dict[str, list[int]] = {}
+    for piece, rank in ranks(path).items():
+        try:
+            entries[piece.encode("latin-1").decode()] = [rank]
+        except UnicodeDecodeError:
+            continue  # a part of a character is no word
+    for word, ids in (entries | (known or {})).items():
         cells[spark_hash(word.encode()) % CELLS][word] = ids
     return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
 
@@ -136,31 +141,34 @@ def _ids_of(whole: Column, word: Column) -> Column:
     return F.get(whole, F.hash(word).bitwiseAND(CELLS - 1))[word]
 
 
-def _rank(whole: Column, piece: Column) -> Column:
-    return F.when(F.size(_ids_of(whole, piece)) == 1, F.get(_ids_of(whole, piece), F.lit(0)))
-
-
 def _let(value: Column, body) -> Column:  # noqa: ANN001
     """``body(value)`` with ``value`` evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _own(number: Column) -> Column:
+    return number.bitwiseAND(NEVER)
+
+
+def _numbered(pairs: Column, left: Column, right: Column) -> Column:
+    """A number for a piece beside its neighbour: the rank of the pair, then the piece's id.
+
+    The cell of another row, or of none, differs in its upper bits, and so counts as never.
+    """
+    cell = pairs["cells"][pairs["at"][left] + right]
+    return F.shiftleft(F.least(cell.bitwiseXOR(F.shiftleft(left + 1, 16)), F.lit(NEVER).cast("long")), 16).bitwiseOR(left)
+
+
 def _fold(pairs: Column, word: Column) -> Column:
-    """Ids of a word, merging the leftmost pair of least rank in each step.
+    """Ids of a word (one character a byte), merging the leftmost pair of least rank in each step.
 
-    The state has a number for each piece: the rank of the pair that it begins, then its id.
-    So the least number tells the pair and the id it becomes, and a merge changes the two
-    numbers that name it. The state begins and ends with a neighbour that is no piece.
+    The state has the number of each piece. So the least number tells the pair and the id it
+    becomes, and a merge changes the two numbers that name it. The state begins and ends with
+    a neighbour that is no piece.
     """
     none = F.lit(NEVER << 16 | NEVER).cast("long")
-    own = lambda e: e.bitwiseAND(NEVER)
     joined = lambda *parts: F.flatten(F.array(*parts))
 
-    def numbered(left: Column, right: Column) -> Column:
-        # The cell of another row, or of none, differs in its upper bits, and so counts as never.
-        cell = pairs["cells"][pairs["at"][left] + right]
-        return F.shiftleft(F.least(cell.bitwiseXOR(F.shiftleft(left + 1, 16)), F.lit(NEVER).cast("long")), 16).bitwiseOR(left)
-
     def start(codes: Column) -> Column:
         inner = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: pairs["first"][a * 256 + b])
         return joined(F.array(none), inner, F.array(pairs["last"][F.get(codes, F.size(codes) - 1)], none))
@@ -168,35 +176,40 @@ def _fold(pairs: Column, word: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         def merged(k: Column) -> Column:
             new = F.shiftright(F.get(state, k - 1), 16)
-            two = F.array(numbered(own(F.get(state, k - 2)), new), numbered(new, own(F.get(state, k + 1))))
+            two = F.array(_numbered(pairs, _own(F.get(state, k - 2)), new), _numbered(pairs, new, _own(F.get(state, k + 1))))
             return joined(F.slice(state, F.lit(1), k - 2), two, F.slice(state, k + 2, F.size(state)))
 
         least = F.array_min(state)
         return F.when(least >= NEVER << 16, state).otherwise(_let(F.array_position(state, least).cast("int"), merged))
 
     codes = F.transform(F.split(word, ""), F.ascii)
-    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _let(codes, start), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda e: own(e).cast("int")))
+    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _let(codes, start), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda e: _own(e).cast("int")))
 
 
-def _fold_long(whole: Column, word: Column) -> Column:
-    """The same for a long word: pieces in brackets, a pair is merged wherever it occurs."""
-    inner = lambda s: F.split(s.substr(F.lit(2), F.length(s) - 2), SHUT + OPEN)
-    start = F.struct(F.concat(F.lit(OPEN), F.array_join(F.split(word, ""), SHUT + OPEN), F.lit(SHUT)).alias("s"), F.lit(True).alias("go"))
+def _fold_long(pairs: Column, word: Column) -> Column:
+    """The same for a long word: the ids as text in brackets, a pair is merged wherever it occurs."""
+    inner = lambda s: F.transform(F.split(F.btrim(s, F.lit("[]")), "\\]\\["), lambda x: x.cast("long"))
+    bracketed = lambda *ids: F.concat(F.lit("["), F.concat_ws("][", *ids), F.lit("]"))
+    codes = F.transform(F.split(word, ""), lambda c: _own(pairs["last"][F.ascii(c)]).cast("string"))
+    start = F.struct(bracketed(codes).alias("s"), F.lit(True).alias("go"))
 
     def step(acc: Column, _: Column) -> Column:
-        def merged(best: Column) -> Column:
-            a, b = best["a"], best["b"]
-            pair = F.concat(F.lit(OPEN), a, F.lit(SHUT + OPEN), b, F.lit(SHUT))
-            new = F.replace(acc["s"], pair, F.concat(F.lit(OPEN), a, b, F.lit(SHUT)))
-            return F.when(best.isNotNull(), F.struct(new.alias("s"), F.lit(True).alias("go"))).otherwise(F.struct(acc["s"].alias("s"), F.lit(False).alias("go")))
+        def merged(ids: Column) -> Column:
+            numbers = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: _numbered(pairs, a, b))
+
+            def at(numbers: Column) -> Column:
+                least = F.array_min(numbers)
+                k = F.array_position(numbers, least).cast("int")
+                pair = bracketed(F.get(ids, k - 1).cast("string"), F.get(ids, k).cast("string"))
+                new = F.replace(acc["s"], pair, bracketed(F.shiftright(least, 16).cast("string")))
+                go = F.coalesce(least < NEVER << 16, F.lit(False))
+                return F.struct(F.when(go, new).otherwise(acc["s"]).alias("s"), go.alias("go"))
 
-        def best(p: Column) -> Column:
-            pairs = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: _rank(whole, F.concat(a, b)))
-            return _let(pairs, lambda r: _let(F.array_position(r, F.array_min(r)).cast("int"), lambda at: F.when(at > 0, F.struct(F.get(p, at - 1).alias("a"), F.get(p, at).alias("b")))))
+            return _let(numbers, at)
 
-        return F.when(acc["go"], _let(_let(inner(acc["s"]), best), merged)).otherwise(acc)
+        return F.when(acc["go"], _let(inner(acc["s"]), merged)).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: F.transform(inner(acc["s"]), lambda x: _rank(whole, x)))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: F.transform(inner(acc["s"]), lambda x: x.cast("int")))
 
 
 def _bytes(word: Column) -> Column:
@@ -204,8 +217,8 @@ def _bytes(word: Column) -> Column:
     return F.when(F.length(word) == F.octet_length(word), word).otherwise(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
 
 
-def _folded(pairs: Column, whole: Column, w: Column) -> Column:
-    return F.when(F.length(w) <= LONG, _fold(pairs, w)).otherwise(_fold_long(whole, w))
+def _folded(pairs: Column, word: Column) -> Column:
+    return _let(_bytes(word), lambda w: F.when(F.length(w) <= LONG, _fold(pairs, w)).otherwise(_fold_long(pairs, w)))
 
 
 def token_ids(text: Column, path: str | None = None, known: dict[str, list[int]] | None = None) -> Column:
@@ -219,13 +232,12 @@ def token_ids(text: Column, path: str | None = None, known: dict[str, list[int]]
     place = path or vocabulary_path()
     tables = F.struct(_pairs(place).alias("pairs"), _whole(place, known).alias("whole"))
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-    words = F.when(F.length(text) == F.octet_length(text), words).otherwise(F.transform(words, _bytes))
 
     def with_tables(t: Column) -> Column:
         def of_chunk(ws: Column) -> Column:
             def ids(seen: Column) -> Column:
                 open_ = F.array_distinct(F.filter(ws, lambda w, i: F.get(seen, i).isNull()))
-                folded = _let(open_, lambda u: F.map_from_arrays(u, F.transform(u, lambda w: _folded(t["pairs"], t["whole"], w))))
+                folded = _let(open_, lambda u: F.map_from_arrays(u, F.transform(u, lambda w: _folded(t["pairs"], w))))
                 return _let(folded, lambda own: F.flatten(F.zip_with(ws, seen, lambda w, k: F.coalesce(k, own[w]))))
 
             return _let(F.transform(ws, lambda w: _ids_of(t["whole"], w)), ids)
@@ -248,10 +260,9 @@ def frequent_words(documents: DataFrame, path: str | None = None, text: str = "t
     place = path or vocabulary_path()
     drawn = documents.select(text).sample(min(1.0, sample / max(1, documents.count())), seed)
     words = drawn.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0))).alias("w")).groupBy("w").count().where("count > 1")
-    open_ = words.select(_bytes(F.col("w")).alias("w"), "count").where(_let(_whole(place), lambda t: _ids_of(t, F.col("w"))).isNull())
+    open_ = words.where(_let(_whole(place), lambda t: _ids_of(t, F.col("w"))).isNull())
     top = open_.orderBy(F.col("count").desc(), "w").limit(most)
-    tables = F.struct(_pairs(place).alias("pairs"), _whole(place).alias("whole"))
-    return {r["w"]: r["ids"] for r in top.select("w", _let(tables, lambda t: _folded(t["pairs"], t["whole"], F.col("w"))).alias("ids")).collect()}
+    return {r["w"]: r["ids"] for r in top.select("w", _let(_pairs(place), lambda t: _folded(t, F.col("w"))).alias("ids")).collect()}
 
 
 def encode(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
