@@ -48,6 +48,53 @@ def test_mixture_reaches_shares_within_repeats(spark):
     assert mixing.mixture(sizes.limit(0), targets)[0].count() == 0
 
 
+def test_mixture_holds_with_very_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 10)
+    monkeypatch.setattr(mixing, "SHARDS", 12_000)
+    monkeypatch.setattr(mixing, "LEAST_RECORDS", 1)
+    rng = random.Random(4)
+    of = {"big": (70_000, 0.5, 1), "mid": (30_000, 0.3, 2), "small": (3_000, 0.2, 9)}
+    rows = [(i, s, rng.randint(20, 60)) for i, s in enumerate(s for s, (n, _, _) in of.items() for _ in range(n))]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long").cache()
+    targets = spark.createDataFrame([(s, w, r) for s, (_, w, r) in of.items()], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mixture(sizes, targets)
+    told = {r.source: r for r in report.collect()}
+    for s, (_, w, most) in of.items():
+        assert told[s].actual_share == pytest.approx(w, abs=0.005) and told[s].most_copies <= most
+    # The scarcest source is used up to its cap: nothing is lost to the shards' remainders.
+    size = sum(r.mix_tokens for r in told.values())
+    assert size >= 0.995 * min(told[s].supply_tokens * r / w for s, (_, w, r) in of.items())
+
+
+def test_mixture_of_a_small_part_keeps_its_shares(spark):
+    rng = random.Random(6)
+    rows = [(i, "abc"[i % 3], rng.randint(1, 50)) for i in range(60_000)]
+    sizes = spark.createDataFrame([*rows, (-1, "d", None)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1), ("d", 0.4, 1), ("e", None, 3), ("f", float("nan"), None), (None, 1.0, 1)], "source string, target_share double, max_repeats int")
+    told = {r.source: r for r in mixing.mixture(sizes, targets, total=50_000)[1].collect()}
+    assert set(told) == set("abcdef")
+    assert [told[s].actual_share for s in "abc"] == pytest.approx([0.5, 0.3, 0.2], abs=0.005)
+    assert sum(r.mix_tokens for r in told.values()) == pytest.approx(50_000, rel=0.01)
+
+
+def test_shares_are_those_of_the_mixture(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(8)
+    sizes = spark.createDataFrame([(i, rng.choice(["p", " q", "r\t", "", None]), rng.randint(0, 90)) for i in range(5000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("p", 0.2, 1), ("q", 0.5, 4), ("q", 0.1, 9), ("z", 0.3, 2)], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mixture(sizes, targets)
+    db = duckdb.connect()
+    for name, df in (("mix", mix), ("sizes", sizes), ("report", report)):
+        db.register(name, df.toPandas())
+    off = db.sql("""
+      with m as (select source, sum(tokens * copies) as t, sum(copies) as n, max(copies) as most from mix group by 1),
+      h as (select trim(source, ' ' || chr(9)) as source, count(*) as n, sum(tokens) as t from sizes group by 1)
+      select r.source from report r left join m using (source) left join h using (source)
+      where r.mix_tokens <> coalesce(m.t, 0) or r.mix_records <> coalesce(m.n, 0) or r.n_records <> coalesce(h.n, 0) or r.supply_tokens <> coalesce(h.t, 0)
+        or abs(r.actual_share - coalesce(m.t, 0) / (select sum(t) from m)) > 1e-12 or coalesce(m.most, 0) > r.max_repeats""").fetchall()
+    assert off == [] and {r.source: r.max_repeats for r in report.collect()} == {"p": 1, "q": 4, "r": 0, "z": 2}
+
+
 def test_token_counts_of_null_and_empty(spark):
     pytest.importorskip("tiktoken")
     assert [r.tokens for r in mixing.token_counts(docs(spark, [None, "", "hello world"])).orderBy("doc_id").collect()] == [0, 0, 2]
