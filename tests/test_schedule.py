@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trussline.operators import findings
 from trussline.operators import schedule as S
 from trussline.operators import xref as X
+from trussline.operators.graph import connected_components
 
 T = ["task_id", "task_code", "proj_id", "wbs_id", "clndr_id", "status_code", "task_type", "target_drtn_hr_cnt", "remain_drtn_hr_cnt", "total_float_hr_cnt", "target_start_date", "target_end_date", "cstr_type"]
 
@@ -136,3 +138,73 @@ def test_recommendations_for_the_whole_project(spark):
     assert kinds(free, [(b, a, "PR_SS" if int(a) < 6 else k, "0") for b, a, k, _ in links]) == {few}
     assert kinds([dict(free[0], cstr_type="CS_MSO"), *free[1:]], []) == set()
     assert kinds([dict(t, cstr_type="CS_MSO") for t in free[:2]] + free[2:], []) == {hard}
+
+
+def test_lead_on_the_critical_path_of_a_pair(spark):
+    """Two critical activities and a lead of five days. The second is the only one without a
+    successor and has no early end, so it is terminal, and one open end is left."""
+    r = overall(spark, CHAIN[:2], [("B", "A", "PR_FS", "-40")])
+    assert (r.s_cp, r.s_constraints, r.s_open_ends, r.s_relationships, r.s_lags, r.s_continuity, r.s_near, r.s_oos, r.s_saturation) == (55, 100, 30, 95, 25, 20, 100, 100, 100)
+    assert r.overall == pytest.approx(63.85) and (r.band, r.confidence) == ("AMBER", "Moderate Confidence")
+    assert sum(S.WEIGHTS.values()) == pytest.approx(1.0) and S.WEIGHTS["continuity"] == 0.10 and S.WEIGHTS["oos"] == 0.05
+
+
+def test_two_ends_without_dates_are_open(spark):
+    p, t, e = tables(spark, CHAIN[:2], [])
+    assert not any(r.terminal for r in S.open_ends(t, e).collect())
+
+
+def test_paths_are_components_without_path_numbers(spark):
+    tasks = [{"task_id": x} for x in "ABCDE"] + [{"task_id": "F", "total_float_hr_cnt": "80"}]
+    _, t, e = tables(spark, tasks, [("B", "A", "PR_FS", "0"), ("D", "C", "PR_FS", "0"), ("E", "F", "PR_FS", "0"), ("F", "D", "PR_FS", "0"), ("A", "A", "PR_FS", "0")])
+    assert {(r.path, r.task_code) for r in S.path_groups(t, e).collect()} == {("A", "A"), ("A", "B"), ("C", "C"), ("C", "D"), ("E", "E")}
+    flagged = t.withColumn("crt_path_num", F.when(F.col("task_id") == "A", "1").when(F.col("task_id") == "C", "2").otherwise("0"))
+    assert {(r.path, r.task_code) for r in S.path_groups(flagged, e).collect()} == {("1", "A"), ("2", "C")}
+
+
+def test_components_equal_a_union_find(spark):
+    rng = random.Random(9)
+    n, links = 300, [(rng.randrange(300), rng.randrange(320)) for _ in range(230)] + [(i, i + 1) for i in range(40, 120)]
+    top = list(range(n))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        if a < n and b < n:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+    key = lambda i: f"{i:04d}"
+    got = connected_components(spark.createDataFrame([(key(i), "x") for i in [*range(n), 5, 5]] + [(None, "x")], "id string, comp string"), spark.createDataFrame([(key(a), key(b)) for a, b in links] + [(None, "0001")], "a string, b string"))
+    assert {r.id: r.comp for r in got.collect()} == {key(i): key(find(i)) for i in range(n)}
+    assert connected_components(spark.createDataFrame([], "id string"), spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_driver_by_flag_and_without_dates(spark):
+    tasks = [{"task_id": x, "target_end_date": d} for x, d in (("1", "2026-01-09 16:00"), ("2", "2026-03-09 16:00"), ("3", ""), ("4", "2026-01-01 08:00"), ("5", "2026-01-01 08:00"))]
+    _, t, e = tables(spark, tasks, [("4", "1", "PR_FS", "0"), ("4", "2", "PR_FS", "0"), ("4", "9", "PR_FS", "0"), ("5", "3", "PR_FS", "0")])
+    assert [(r.task_id, r.pred_task_id) for r in S.drivers(t, e).collect()] == [("4", "2")]
+    by_flag = e.withColumn("flagged", F.col("pred_task_id") == "1")
+    assert [(r.task_id, r.pred_task_id) for r in S.drivers(t, by_flag).collect()] == [("4", "1")]
+    assert S.drivers(t, e.withColumn("flagged", F.col("pred_task_id") == "9")).count() == 0
+
+
+def test_invalid_dates_follow_the_reported_percentage(spark):
+    p, t, e = tables(spark, [{"task_id": "A", "target_end_date": "2025-12-01 08:00"}], [])
+    rs = spark.createDataFrame([], "task_id string, rsrc_id string")
+    of = lambda x: {r.check_id: r.value for r in S.health_checks(p, x, e, rs).collect()}[9]
+    assert of(t) == 1.0 and of(t.withColumn("phys_complete_pct", F.lit("100"))) == 0.0 and of(t.withColumn("act_pct_complete", F.lit("101"))) == 1.0
+
+
+def test_findings_are_counted_and_checked(spark):
+    p, t, e = tables(spark, CHAIN, LINKS)
+    checks = S.health_checks(p, t, e, spark.createDataFrame([], "task_id string, rsrc_id string"))
+    index = S.execution_index(t.limit(0), t)
+    report = findings.health_report(p, checks, index, S.path_groups(t, e), S.continuity_gaps(e))
+    got = {r.check_id: r for r in report.collect()}
+    assert len(got) == 16 and got["BEI"].severity == "INFO" and got["DCMA-Ext-CPContinuity"].severity == "PASS"
+    n = findings.counts(report).first()
+    assert (n.n_block, n.n_warn, n.n_info, n.n_pass, n.has_blocking) == (0, 3, 1, 12, False)
+    with pytest.raises(Exception, match="no severity"):
+        spark.range(1).select(findings.severity(F.lit("FATAL"))).collect()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Codes of activity types, statuses and constraints.
 EXCLUDED_TYPES = ["TT_WBS", "TT_LOE"]
+# Labels of statuses.
+STATUS_LABELS = {"TK_NotStart": "Not Started", "TK_Active": "In Progress", "TK_Complete": "Complete"}
 MILESTONE_TYPES = ["TT_Mile", "TT_FinMile"]
 MANDATORY = ["CS_MANDSTART", "CS_MANDFIN"]
 PINNED = ["CS_MSO", "CS_MEO"]
@@ -54,7 +56,8 @@ def days_or_zero(hours: Column | str, per_day: Column, digits: int | None = None
 def percent_complete(physical: Column, actual: Column, target: Column, remain: Column) -> Column:
     """The first reported percentage within 0 to 100, else the share of the duration used up."""
     given = [F.when(number(c).between(0, 100), number(c)) for c in (physical, actual)]
-    t, r = number_or(target, 0.0), number_or(remain, 0.0)
+    t = number_or(target, 0.0)
+    r = F.coalesce(number(remain), t)
     return F.coalesce(*given, F.when(t > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (t - r) / t))), F.lit(0.0))
 
 

@@ -13,40 +13,47 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.exprs import days, has_hard, is_work, moment, number, number_or
+from trussline.functions.exprs import days, has_hard, is_work, moment, number, number_or, percent_complete
 from trussline.operators.common import cut, hot_values, salted_join
+from trussline.operators.graph import connected_components
 
-#: Projects with up to this many relationships are walked in one task; larger ones by joins.
+#: Projects with up to this many activities and relationships are walked in one task; larger ones by joins.
 MAX_EDGES = 500_000
 
 
 def enrich_tasks(task: DataFrame, calendar: DataFrame, project: DataFrame) -> DataFrame:
     """Activities with hours per day, float, flags, parsed dates and the project's data date.
 
-    An absent column reads as ``''``. Blank float is 999 for criticality and 0 elsewhere.
+    An absent column reads as ``''``. Blank float is 999 for criticality and 0 elsewhere. The
+    project's day length is that of its own calendar, or its default one, else 8.
     """
-    for c in ("cstr_type", "cstr_type2", "crt_path_num", "early_start_date", "early_end_date", "act_start_date", "act_end_date", "target_start_date", "target_end_date", "total_float_hr_cnt", "remain_drtn_hr_cnt", "target_drtn_hr_cnt"):
+    for c in ("phys_complete_pct", "act_pct_complete", "driving_path_flag", "cstr_type", "cstr_type2", "crt_path_num", "early_start_date", "early_end_date", "act_start_date", "act_end_date", "target_start_date", "target_end_date", "total_float_hr_cnt", "remain_drtn_hr_cnt", "target_drtn_hr_cnt"):
         if c not in task.columns:
             task = task.withColumn(c, F.lit(""))
     per_day = calendar.groupBy("clndr_id").agg(F.max(number("day_hr_cnt")).alias("hpd"))
-    dates = project.groupBy("proj_id").agg(F.first("last_recalc_date").alias("data_date_raw"), F.first(F.coalesce(F.nullif("scd_end_date", F.lit("")), "plan_end_date")).alias("finish_raw"))
+    own = [F.nullif(F.col(c), F.lit("")) for c in ("clndr_id", "dflt_clndr_id") if c in project.columns]
+    dates = project.groupBy("proj_id").agg(F.first("last_recalc_date").alias("data_date_raw"), F.first(F.coalesce(F.nullif("scd_end_date", F.lit("")), "plan_end_date")).alias("finish_raw"), F.first(F.coalesce(*own) if own else F.lit(None).cast("string")).alias("_cal"))
+    dates = dates.join(per_day.select(F.col("clndr_id").alias("_cal"), F.col("hpd").alias("_per")), "_cal", "left").select("proj_id", "data_date_raw", "finish_raw", F.when(F.col("_per") > 0, F.col("_per")).otherwise(8.0).alias("proj_hpd"))
     t = task.join(per_day, "clndr_id", "left").join(dates, "proj_id", "left")
     work = is_work()
     open_ = work & (F.col("status_code") != "TK_Complete")
     tf999 = number_or("total_float_hr_cnt", 999.0)
     return t.select(
-        *task.columns, "hpd", "finish_raw", work.alias("work"), open_.alias("open"), tf999.alias("tf999"), number_or("total_float_hr_cnt", 0.0).alias("tf0"),
+        *task.columns, "hpd", "proj_hpd", "finish_raw", work.alias("work"), open_.alias("open"), tf999.alias("tf999"), number_or("total_float_hr_cnt", 0.0).alias("tf0"),
         (open_ & (tf999 <= 0)).alias("cp"), has_hard(F.col("cstr_type"), F.col("cstr_type2")).alias("hard"), moment("data_date_raw").alias("data_date"),
         *[moment(f"{c}_date").alias(f"{c}_ts") for c in ("early_start", "early_end", "act_start", "act_end", "target_start", "target_end")],
     )
 
 
 def enrich_edges(taskpred: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Relationships with both ends: project, status, type, criticality, calendar; lag in hours."""
+    """Relationships with both ends: project, status, type, criticality, calendar; lag in hours, and
+    whether the relationship itself is flagged as driving."""
+    flags = [F.col(c) == "Y" for c in ("driving", "driving_path_flag") if c in taskpred.columns]
+    taskpred = taskpred.withColumn("flagged", F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags]), F.lit(False)) if flags else F.lit(False))
     end = lambda p: tasks.select(*[F.col(c).alias(f"{p}_{c}") for c in ("task_id", "proj_id", "status_code", "work", "cp", "clndr_id", "hpd")])
     pred = end("pred").withColumnRenamed("pred_task_id", "_pid")
     e = taskpred.join(end("succ"), taskpred["task_id"] == F.col("succ_task_id"), "left").join(pred, taskpred["pred_task_id"] == F.col("_pid"), "left")
-    return e.select("task_id", "pred_task_id", "pred_type", F.coalesce(number("lag_hr_cnt"), F.lit(0.0)).alias("lag"), *[f"{p}_{c}" for p in ("succ", "pred") for c in ("proj_id", "status_code", "clndr_id", "hpd")], *[F.coalesce(f"{p}_{c}", F.lit(False)).alias(f"{p}_{c}") for p in ("succ", "pred") for c in ("work", "cp")])
+    return e.select("task_id", "pred_task_id", "pred_type", "flagged", F.coalesce(number("lag_hr_cnt"), F.lit(0.0)).alias("lag"), *[f"{p}_{c}" for p in ("succ", "pred") for c in ("proj_id", "status_code", "clndr_id", "hpd")], *[F.coalesce(f"{p}_{c}", F.lit(False)).alias(f"{p}_{c}") for p in ("succ", "pred") for c in ("work", "cp")])
 
 
 def _per_project(project: DataFrame, part: DataFrame, **fill: float) -> DataFrame:
@@ -110,7 +117,8 @@ def open_ends(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """Open activities that lack a predecessor or a successor; terminals of the critical path excluded.
 
     Terminal: a critical activity without successor that is a milestone or ends on the
-    project's finish; where a project has none, those with its latest early end.
+    project's finish; where a project has none, those with its latest early end, or the only
+    such activity if it has no early end.
     """
     own = edges.where(F.col("succ_proj_id").isNotNull())
     has_pred, has_succ = own.select("task_id").distinct().withColumn("p", F.lit(True)), own.select(F.col("pred_task_id").alias("task_id")).distinct().withColumn("s", F.lit(True))
@@ -118,12 +126,11 @@ def open_ends(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     no_pred, no_succ = F.col("p").isNull(), F.col("s").isNull()
     end = F.substring("early_end_date", 1, 10)
     candidate = F.col("cp") & no_succ
-    sure = candidate & (F.col("task_type").isin("TT_Mile", "TT_FinMile") | ((end != "") & (end == F.substring("finish_raw", 1, 10))))
-    by = Window.partitionBy("proj_id")
-    some = F.max(sure.cast("int")).over(by) == 1
-    latest = F.max(F.when(candidate & (end != ""), end)).over(by)
-    flagged = t.select("proj_id", "task_id", "cp", no_pred.alias("no_pred"), no_succ.alias("no_succ"), F.when(some, sure).otherwise(F.coalesce(candidate & (end == latest), F.lit(False))).alias("terminal"))
-    return flagged.withColumn("no_succ", F.col("no_succ") & ~F.col("terminal")).where("no_pred or no_succ or terminal")
+    sure = F.col("task_type").isin("TT_Mile", "TT_FinMile") | ((end != "") & (end == F.substring("finish_raw", 1, 10)))
+    bare = t.where(no_pred | no_succ).select("proj_id", "task_id", "cp", no_pred.alias("no_pred"), no_succ.alias("no_succ"), candidate.alias("cand"), F.coalesce(candidate & sure, F.lit(False)).alias("sure"), F.nullif(end, F.lit("")).alias("end"))
+    per = bare.where("cand").groupBy("proj_id").agg(F.max("sure").alias("_some"), F.max("end").alias("_latest"), F.count(F.lit(1)).alias("_n"))
+    last = F.when(F.col("_some"), F.col("sure")).when(F.col("_latest").isNotNull(), F.col("end") == F.col("_latest")).otherwise(F.col("_n") == 1)
+    return bare.join(per, "proj_id", "left").select("proj_id", "task_id", "cp", "no_pred", "no_succ", F.coalesce(F.col("cand") & last, F.lit(False)).alias("terminal")).withColumn("no_succ", F.col("no_succ") & ~F.col("terminal"))
 
 
 def open_end_score(project: DataFrame, tasks: DataFrame, ends: DataFrame) -> DataFrame:
@@ -201,26 +208,26 @@ def reaching(tasks: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) ->
     """proj_id, task_id of every activity that leads to an anchor of its project.
 
     Anchors are critical finish milestones, or all finish milestones where none is critical.
-    Cyclic logic ends in either way of walking. Projects of more than ``max_edges``
-    relationships are not put into one task: their frontier moves by joins, one step a round.
+    Cyclic logic ends in either way of walking. Projects of more than ``max_edges`` activities
+    and relationships are not put into one task: their frontier moves by joins, one step a
+    round, and each round writes its new activities only.
     """
     fin = F.col("task_type") == "TT_FinMile"
-    some = F.max((fin & F.col("cp")).cast("int")).over(Window.partitionBy("proj_id")) == 1
-    nodes = tasks.select("proj_id", "task_id", F.when(some, fin & F.col("cp")).otherwise(fin).alias("anchor"))
+    some = tasks.groupBy("proj_id").agg(F.max(fin & F.col("cp")).alias("_some"), F.count(F.lit(1)).alias("_n"))
     links = edges.where(F.col("succ_proj_id") == F.col("pred_proj_id")).select(F.col("succ_proj_id").alias("pid"), "task_id", "pred_task_id")
-    large = [r["pid"] for r in links.groupBy("pid").count().where(F.col("count") > max_edges).select("pid").toLocalIterator()]
-    near_n, near_l = (nodes.where(~F.col("proj_id").isin(large)), links.where(~F.col("pid").isin(large))) if large else (nodes, links)
-    out = near_n.groupBy("proj_id").cogroup(near_l.groupBy("pid")).applyInPandas(_reach, "task_id string, proj_id string").select("proj_id", "task_id")
-    if not large:
+    sizes = some.join(links.groupBy(F.col("pid").alias("proj_id")).agg(F.count(F.lit(1)).alias("_m")), "proj_id", "left")
+    sizes = cut(sizes.select("proj_id", "_some", (F.col("_n") + F.coalesce("_m", F.lit(0)) > max_edges).alias("large")))
+    nodes = tasks.join(sizes, "proj_id").select("proj_id", "task_id", "large", F.when(F.col("_some"), fin & F.col("cp")).otherwise(fin).alias("anchor"))
+    links = links.join(sizes.select(F.col("proj_id").alias("pid"), "large"), "pid")
+    out = nodes.where("not large").drop("large").groupBy("proj_id").cogroup(links.where("not large").groupBy("pid")).applyInPandas(_reach, "task_id string, proj_id string").select("proj_id", "task_id")
+    if sizes.where("large").isEmpty():
         return out
-    far = links.where(F.col("pid").isin(large))
-    seen = cut(nodes.where(F.col("proj_id").isin(large) & F.col("anchor")).select("proj_id", "task_id"))
-    front = seen
-    while not front.isEmpty():
-        step = front.join(far, "task_id").select("proj_id", F.col("pred_task_id").alias("task_id")).distinct()
-        front = cut(step.join(seen, ["proj_id", "task_id"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return out.unionByName(seen)
+    far = cut(links.where("large").drop("large"))
+    fronts = [cut(nodes.where("large and anchor").select("proj_id", "task_id"))]
+    while not fronts[-1].isEmpty():
+        step = fronts[-1].join(far, "task_id").select("proj_id", F.col("pred_task_id").alias("task_id")).distinct()
+        fronts.append(cut(step.join(reduce(DataFrame.unionByName, fronts), ["proj_id", "task_id"], "left_anti")))
+    return reduce(DataFrame.unionByName, [out, *fronts])
 
 
 def disconnected(tasks: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -235,19 +242,24 @@ def continuity_score(project: DataFrame, tasks: DataFrame, loose: DataFrame) ->
 
 
 # Weights of the nine checks, in their order.
-WEIGHTS = {"cp": 0.05, "constraints": 0.17, "open_ends": 0.20, "relationships": 0.13, "lags": 0.15, "oos": 0.10, "near": 0.10, "continuity": 0.05, "saturation": 0.05}
+WEIGHTS = {"cp": 0.05, "constraints": 0.17, "open_ends": 0.20, "relationships": 0.13, "lags": 0.15, "continuity": 0.10, "near": 0.10, "oos": 0.05, "saturation": 0.05}
 
 
 def confidence(project: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
-    """Weighted score of each project, unrounded, and its band."""
+    """Weighted score of each project, unrounded, its band and how far it is to be trusted."""
     out = project.select("proj_id").distinct()
     for name in WEIGHTS:
         out = out.join(scores[name].select("proj_id", F.col("score").alias(f"s_{name}")), "proj_id")
     total = reduce(lambda a, b: a + b, [F.col(f"s_{n}") * F.lit(w) for n, w in WEIGHTS.items()])
-    return out.select("proj_id", *[f"s_{n}" for n in WEIGHTS], total.alias("overall")).withColumn("band", F.when(F.col("overall") >= 80, "GREEN").when(F.col("overall") >= 40, "AMBER").otherwise("RED"))
+    return out.select("proj_id", *[f"s_{n}" for n in WEIGHTS], total.alias("overall")).withColumns({
+        "band": F.when(F.col("overall") >= 80, "GREEN").when(F.col("overall") >= 40, "AMBER").otherwise("RED"),
+        "confidence": F.when(F.col("overall") >= 80, "High Confidence").when(F.col("overall") >= 60, "Moderate Confidence").when(F.col("overall") >= 40, "Low Confidence").otherwise("Unreliable"),
+    })
 
 
 def all_scores(project: DataFrame, tasks: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The nine score tables; tasks and relationships are built once and read by all of them."""
+    tasks, edges = cut(tasks), cut(edges)
     return {
         "cp": critical_path(project, tasks), "constraints": constraint_driven(project, tasks), "open_ends": open_end_score(project, tasks, open_ends(tasks, edges)),
         "relationships": relationship_quality(project, edges), "lags": lag_score(project, lags(edges)), "oos": oos_score(project, tasks, out_of_sequence(edges)),
@@ -302,7 +314,7 @@ def profile(of: str | dict[str, float] = "commercial") -> dict[str, float]:
 
 
 def health_checks(project: DataFrame, tasks: DataFrame, edges: DataFrame, taskrsrc: DataFrame, of: str | dict[str, float] = "commercial") -> DataFrame:
-    """proj_id, check_id, value, severity: the fourteen checks of every project.
+    """proj_id, check_id, value, threshold, severity: the fourteen checks of every project.
 
     Relationships count for a project if either end is in it. A check that cannot be computed
     has a null value and severity INFO, which does not count as passed.
@@ -310,16 +322,16 @@ def health_checks(project: DataFrame, tasks: DataFrame, edges: DataFrame, taskrs
     th = profile(of)
     work = F.col("work")
     t = tasks.where("work")
-    linked_p, linked_s = edges.select("task_id").distinct().withColumn("_p", F.lit(1)), edges.select(F.col("pred_task_id").alias("task_id")).distinct().withColumn("_s", F.lit(1))
-    staffed = taskrsrc.select("task_id").distinct().withColumn("_r", F.lit(1))
-    t = t.join(linked_p, "task_id", "left").join(linked_s, "task_id", "left").join(staffed, "task_id", "left")
+    mark = lambda df, c, p, s, r: df.select(F.col(c).alias("task_id"), *[F.lit(v).alias(n) for n, v in (("_p", p), ("_s", s), ("_r", r))])
+    marks = mark(edges, "task_id", 1, None, None).unionByName(mark(edges, "pred_task_id", None, 1, None)).unionByName(mark(taskrsrc, "task_id", None, None, 1))
+    t = t.join(marks.groupBy("task_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in ("_p", "_s", "_r")]), "task_id", "left")
     kind, dd = F.col("task_type"), F.col("data_date")
     no_logic = (F.col("_p").isNull() & ~kind.isin("TT_Mile", "TT_FinMile")) | (F.col("_s").isNull() & (kind != "TT_FinMile"))
     open_, per = F.col("open"), F.when(F.col("hpd") > 0, F.col("hpd")).otherwise(8.0)
     body = open_ & ~kind.isin("TT_Mile", "TT_FinMile")
     late = lambda c: F.coalesce(c > dd, F.lit(False)).cast("int")
-    target, remain = number_or("target_drtn_hr_cnt", 0.0), number_or("remain_drtn_hr_cnt", 0.0)
-    done = F.when(target > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (target - remain) / target))).otherwise(0.0)
+    remain = number_or("remain_drtn_hr_cnt", 0.0)
+    done = percent_complete(F.col("phys_complete_pct"), F.col("act_pct_complete"), F.col("target_drtn_hr_cnt"), F.col("remain_drtn_hr_cnt"))
     stale = F.coalesce((F.col("target_end_ts") < dd) & (done < 100) & (F.col("status_code") != "TK_Complete") & F.col("act_end_ts").isNull(), F.lit(False)).cast("int")
     due = F.coalesce(F.col("target_end_ts") <= dd, F.lit(False))
     cp = F.col("cp")
@@ -329,13 +341,13 @@ def health_checks(project: DataFrame, tasks: DataFrame, edges: DataFrame, taskrs
         F.count_if(body).alias("n_body"), F.count_if(body & (remain / per > th["high_duration_days"])).alias("n_hd"),
         F.sum(late(F.col("act_start_ts")) + late(F.col("act_end_ts")) + stale).alias("n_inv"), F.count_if(F.col("_r").isNotNull()).alias("n_res"),
         F.count_if(due).alias("n_due"), F.count_if(due & (F.col("status_code") != "TK_Complete")).alias("n_missed"), F.max("data_date").alias("dd"),
-        F.coalesce(F.max(F.when(cp, F.col("early_end_ts"))), F.max(F.when(cp, F.col("target_end_ts")))).alias("cp_end"), F.min(F.when(cp, F.col("tf999") / per)).alias("cp_tf"),
+        F.coalesce(F.max(F.when(cp, F.col("early_end_ts"))), F.max(F.when(cp, F.col("target_end_ts")))).alias("cp_end"), F.min(F.when(cp, F.col("tf999") / per)).alias("cp_tf"), F.max("proj_hpd").alias("proj_hpd"),
     )
     sides = edges.select(F.explode(F.array_distinct(F.array("succ_proj_id", "pred_proj_id"))).alias("proj_id"), "lag", "pred_type").where(F.col("proj_id").isNotNull())
     e = sides.groupBy("proj_id").agg(F.count(F.lit(1)).alias("n_e"), F.count_if(F.col("lag") < 0).alias("n_lead"), F.count_if(F.col("lag") > 0).alias("n_lag"), F.count_if(F.col("pred_type") == "PR_FS").alias("n_fs"))
-    p = _per_project(project, a.drop("dd", "cp_end", "cp_tf").join(e, "proj_id", "left")).join(a.select("proj_id", "dd", "cp_end", "cp_tf"), "proj_id", "left")
+    p = _per_project(project, a.drop("dd", "cp_end", "cp_tf", "proj_hpd").join(e, "proj_id", "left")).join(a.select("proj_id", "dd", "cp_end", "cp_tf", "proj_hpd"), "proj_id", "left")
     c = F.col
-    length = (F.unix_micros(c("cp_end").cast("timestamp")) - F.unix_micros(c("dd").cast("timestamp"))) / 3.6e9 / 8.0
+    length = (F.unix_micros(c("cp_end").cast("timestamp")) - F.unix_micros(c("dd").cast("timestamp"))) / 3.6e9 / c("proj_hpd")
     cpli = F.when(length > 0, (length + c("cp_tf")) / length)
     resources = F.when(c("n") > 0, _pct(c("n_res"), c("n"))).otherwise(F.lit(100.0))
     dated = c("dd").isNotNull()
@@ -348,7 +360,7 @@ def health_checks(project: DataFrame, tasks: DataFrame, edges: DataFrame, taskrs
         (10, resources, th["resources"], down, "WARN"), (11, F.when(dated, c("n_inv").cast("double")), th["invalid"], up, "BLOCK"), (12, resources, th["resources"], down, "WARN"),
         (13, F.when(dated, _pct(c("n_missed"), c("n_due"))), th["missed"], up, "WARN"), (14, cpli, th["cpli"], down, "BLOCK"),
     ]
-    told = [F.struct(F.lit(i).cast("long").alias("check_id"), v.cast("double").alias("value"), F.when(v.isNull(), "INFO").when(ok(v, lim), "PASS").otherwise(sev).alias("severity")) for i, v, lim, ok, sev in rules]
+    told = [F.struct(F.lit(i).cast("long").alias("check_id"), v.cast("double").alias("value"), F.lit(float(lim)).alias("threshold"), F.when(v.isNull(), "INFO").when(ok(v, lim), "PASS").otherwise(sev).alias("severity")) for i, v, lim, ok, sev in rules]
     return p.select("proj_id", F.inline(F.array(*told)))
 
 
@@ -356,23 +368,37 @@ def health_score(checks: DataFrame) -> DataFrame:
     return checks.groupBy("proj_id").agg(F.count_if(F.col("severity") == "PASS").alias("passed"))
 
 
-def execution_index(baseline: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Distinct baseline activities due by the data date, those complete now, and their ratio.
+def execution_index(baseline: DataFrame, tasks: DataFrame, of: str | dict[str, float] = "commercial") -> DataFrame:
+    """Distinct baseline work activities due by the data date, those complete now, their ratio and severity.
 
-    Of activities with one code, the first by id counts.
+    The data date is that of the project with the most activities, the first by id of equal
+    ones. Of current work activities with one code, the first by id counts.
     """
-    now = tasks.groupBy("task_code").agg(F.min_by("status_code", F.struct(F.col("task_id").try_cast("long"), "task_id")).alias("now"))
-    dd = tasks.agg(F.max("data_date").alias("dd"))
-    due = baseline.where(is_work()).withColumn("at", moment("target_end_date")).join(F.broadcast(dd), F.col("at") <= F.col("dd")).select("task_code").distinct()
-    return due.join(now, "task_code", "left").agg(F.count(F.lit(1)).alias("n_due"), F.count_if(F.col("now") == "TK_Complete").alias("n_done")).withColumn("bei", F.col("n_done") / F.nullif(F.col("n_due"), F.lit(0)))
+    largest = tasks.groupBy("proj_id").agg(F.count(F.lit(1)).alias("n"), F.max("data_date").alias("dd")).orderBy(F.desc("n"), F.col("proj_id").try_cast("long"), "proj_id").first()
+    by = F.lit(largest["dd"] if largest else None).cast("timestamp_ntz")
+    now = tasks.where("work").groupBy("task_code").agg(F.min_by("status_code", F.struct(F.col("task_id").try_cast("long"), "task_id")).alias("now"))
+    due = baseline.where(is_work() & (moment("target_end_date") <= by)).select("task_code").distinct()
+    out = due.join(now, "task_code", "left").agg(F.count(F.lit(1)).alias("n_due"), F.count_if(F.col("now") == "TK_Complete").alias("n_done")).withColumn("bei", F.col("n_done") / F.nullif(F.col("n_due"), F.lit(0)))
+    return out.withColumn("severity", F.when(F.col("bei").isNull(), "INFO").when(F.col("bei") >= profile(of)["bei"], "PASS").otherwise("WARN"))
 
 
-def path_groups(tasks: DataFrame) -> DataFrame:
-    """Critical activities by critical-path number, in order of start and code."""
-    flagged = tasks.where("cp and crt_path_num not in ('', '0')")
-    start = F.coalesce("early_start_ts", "target_start_ts")
-    order = Window.partitionBy("proj_id", "crt_path_num").orderBy(start.asc_nulls_last(), "task_code")
-    return flagged.select("proj_id", "crt_path_num", "task_code", F.row_number().over(order).cast("long").alias("place"))
+def path_groups(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """proj_id, path, task_code, place: the critical paths, each in order of start and code.
+
+    A project whose critical activities bear two or more path numbers is grouped by them, and
+    activities without one are left out. In any other project the paths are the connected
+    components of the relationships between critical activities, each named by its least id.
+    """
+    cp = cut(tasks.where("cp").select("proj_id", "task_id", "task_code", F.nullif(F.nullif(F.trim("crt_path_num"), F.lit("")), F.lit("0")).alias("flag"), F.coalesce("early_start_ts", "target_start_ts").alias("start")))
+    several = cp.groupBy("proj_id").agg((F.count_distinct("flag") > 1).alias("by_flag"))
+    cp = cp.join(several, "proj_id")
+    flagged = cp.where("by_flag and flag is not null").withColumn("path", F.col("flag"))
+    rest = cp.where("not by_flag")
+    inside = edges.where(F.col("succ_cp") & F.col("pred_cp") & (F.col("succ_proj_id") == F.col("pred_proj_id"))).select(F.col("task_id").alias("a"), F.col("pred_task_id").alias("b"))
+    found = connected_components(rest.select(F.col("task_id").alias("id")), inside)
+    paths = flagged.unionByName(rest.join(found.select(F.col("id").alias("task_id"), F.col("comp").alias("path")), "task_id").select(*flagged.columns))
+    order = Window.partitionBy("proj_id", "path").orderBy(F.col("start").asc_nulls_last(), "task_code")
+    return paths.select("proj_id", "path", "task_code", F.row_number().over(order).cast("long").alias("place"))
 
 
 def continuity_gaps(edges: DataFrame) -> DataFrame:
@@ -382,10 +408,14 @@ def continuity_gaps(edges: DataFrame) -> DataFrame:
 
 
 def drivers(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """One driving predecessor per activity: the one that ends last, the first of equal ones."""
-    end = tasks.select(F.col("task_id").alias("pred_task_id"), F.coalesce("early_end_ts", "act_end_ts", "target_end_ts").alias("pred_end"))
-    order = Window.partitionBy("task_id").orderBy(F.col("pred_end").desc_nulls_last(), F.col("pred_task_id").try_cast("long"))
-    return edges.select("task_id", "pred_task_id").join(end, "pred_task_id").withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("task_id", "pred_task_id")
+    """One driving predecessor per activity: the first on a relationship flagged as driving, else
+    the one that ends last, the first of equal ones. Predecessors without any date drive by a flag
+    only; an activity whose driver is no known activity has none."""
+    end = tasks.select(F.col("task_id").alias("pred_task_id"), F.coalesce("early_end_ts", "act_end_ts", "target_end_ts").alias("pred_end"), F.lit(True).alias("known"))
+    each = edges.select("task_id", "pred_task_id", "flagged").join(end, "pred_task_id", "left").where(F.col("flagged") | F.col("pred_end").isNotNull())
+    rank = F.struct(~F.col("flagged"), F.when(~F.col("flagged"), -F.unix_micros(F.col("pred_end").cast("timestamp"))), F.col("pred_task_id").try_cast("long"), "pred_task_id")
+    best = each.groupBy("task_id").agg(F.min_by(F.struct("pred_task_id", "known"), rank).alias("d"))
+    return best.where("d.known").select("task_id", "d.pred_task_id")
 
 
 def driving_path(tasks: DataFrame, edges: DataFrame, codes: list[str] | None = None, most: int = 200) -> DataFrame:

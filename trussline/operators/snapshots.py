@@ -8,10 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trussline.functions.exprs import STATUS_LABELS
 from trussline.operators.common import blank_trim, key_of, salted_join
 
-# Codes of an activity's status and their labels.
-STATUS_LABELS = {"TK_NotStart": "Not Started", "TK_Active": "In Progress", "TK_Complete": "Complete"}
 # Abbreviated month names.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 

@@ -50,6 +50,15 @@ TABLES: dict[str, str] = {
 CTES = "with recursive " + ",\n".join(f"{n} as ({q})" for n, q in TABLES.items())
 
 
+#: The relationships again, as an equi-join on the place in the project's order.
+_TASKPRED = """with o as (select o_orderkey k, c_nationkey p, row_number() over (partition by c_nationkey order by o_orderdate, o_orderkey) rn from orders join customer on o_custkey = c_custkey),
+ a as (select k, p, rn - off as prn from o lateral view explode(array(1, 7)) x as off where k % 17 <> 0)
+ select cast(a.k as string) task_id, cast(o.k as string) pred_task_id,
+ case a.k % 12 when 0 then 'PR_FF' when 1 then 'PR_SS' when 2 then 'PR_SF' else 'PR_FS' end pred_type,
+ cast(case a.k % 11 when 0 then -16 when 1 then 40 when 2 then 120 else 0 end as string) lag_hr_cnt
+ from a join o on a.p = o.p and a.prn = o.rn where o.k % 19 <> 0"""
+
+
 def _named(query: str) -> str:
     """Table names after FROM and JOIN as views of our own, to keep the session's names free."""
     return re.sub(r"\b(from|join) (region|nation|customer|supplier|orders|lineitem|task)\b", r"\1 _lens_\2", query)
@@ -61,7 +70,7 @@ def lens(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         load(spark, d, name).createOrReplaceTempView(f"_lens_{name}")
     out = {}
     for name, query in TABLES.items():
-        out[name] = spark.sql(_named(query).replace("a.k % 17", "a.k % 17"))
+        out[name] = spark.sql(_named(_TASKPRED if name == "taskpred" else query))
         if name == "task":
             out[name].createOrReplaceTempView("_lens_task")
     return out
