@@ -1,9 +1,10 @@
 """Texts that were cut off, found by how their last words stand elsewhere in the corpus.
 
 Word trigrams are counted inside texts and at their ends, in SQL. A text whose final trigram
-is frequent inside texts but almost never ends one stops within a sentence; a final word
-that only begins the words which stand in its place elsewhere stops within a word. A message
-whose outer boundary is never closed stops within a part, such as an encoded attachment.
+is frequent inside texts but almost never ends one stops within a sentence. If the last word
+is cut, too, the trigrams count that begin like the final one: the same two words, and a word
+that goes on from the last. An encoded attachment is one word to the trigrams, so a text that
+stops within one ends like no whole message does.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.operators.common import cut
+from trussline.operators.common import cut, hot_values, salted_join
 
 #: Least count inside texts for a final trigram to tell anything.
 FREQUENT = 3
@@ -26,21 +27,26 @@ WORD_SHARE = 0.01
 # character of a script without spaces, or a mark that ends a sentence.
 _WORD = r"[\\p{L}0.+-]++@[\\p{L}0.-]*+|[\\p{L}\\p{M}0&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]++|[.!?。…:>-]|[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]"
 
+#: Beginnings of words are met exactly up to so many characters, longer ones by these and as a whole.
+BEGIN = 16
+
+# Soft line breaks and escapes of quoted-printable are undone, an escape broken off at the end
+# is left out; the body of a base64 part and an encoded word are one word each.
 PREPARED = r"""
 with raw as (
   select doc_id, source, replace(text, chr(13), '') as t,
     regexp_extract(text, 'boundary="?([^"\\s;]+)', 1) as edge,
-    rlike(text, '(?i)transfer-encoding: *quoted-printable') as qp
+    rlike(text, '(?i)transfer-encoding: *quoted-printable') as qp, rlike(text, '(?i)transfer-encoding: *base64') as b64
   from @documents where text is not null and rlike(text, '\\S')),
 plain as (
-  select doc_id, source, t, edge, qp,
-    case when qp then coalesce(try_url_decode(regexp_replace(replace(replace(regexp_replace(t, '=\\n', ''), '%', '%25'), '+', '%2B'), '=([0-9A-F]{2})', '%$1')), t) else t end as u
+  select doc_id, source, t, edge, qp, b64,
+    case when qp then coalesce(try_url_decode(regexp_replace(replace(replace(regexp_replace(t, '=\\n|=[0-9A-F]?$', ''), '%', '%25'), '+', '%2B'), '=([0-9A-F]{2})', '%$1')), t) else t end as u
   from raw),
 worded as (
   select doc_id, source, edge <> '' and instr(t, concat('--', edge, '--')) = 0 as unclosed,
     edge <> '' and instr(t, concat('--', edge, '--')) > 0 as closed,
     qp and rlike(t, '=[0-9A-F]?\\s*$') as broken_escape, endswith(t, '\n\n') as parted,
-    regexp_extract_all(regexp_replace(u, '(?m)(?:^[A-Za-z0-9+/=]{40,}+$\\n?+)++|[1-9]', '0'), '@word', 0) as w
+    regexp_extract_all(regexp_replace(case when b64 then regexp_replace(u, '(?i)(transfer-encoding: *base64[^\\n]*+\\n(?:[^\\n]++\\n)*+\\n)[A-Za-z0-9+/=\\n]++', '$1 0 \n') else u end, '(?m)(?:^[A-Za-z0-9+/=]{40,}+$\\n?+)++|=[?][^?\\s]++[?][BbQq][?][^?\\s]*+[?]=|[1-9]', '0'), '@word', 0) as w
   from plain)
 select doc_id, source, unclosed, closed, broken_escape, parted, w, size(w) as n from worded
 """
@@ -61,62 +67,80 @@ from @words
 """
 
 # Distinct final trigrams: how often they end a text (n_end), and how often the same words
-# (n_same), or words that go on from the last one (n_longer), stand inside.
+# (n_same), or words that go on from the last one (n_longer), stand inside. Trigrams are met by
+# the beginnings of their last word, so that no pair of words is met with all that follow it.
 OF_TRIGRAM = """
-with ends as (select a, b, count(*) as n_end from @final where not closed group by a, b)
-select e.a, e.b, any_value(e.n_end) as n_end, coalesce(sum(case when i.b = e.b then i.n end), 0) as n_same,
-  coalesce(sum(case when i.b <> e.b and startswith(i.b, e.b) then i.n end), 0) as n_longer
-from ends e left join @inside i on i.a = e.a group by e.a, e.b
+with ends as (select a, b, count(*) as n_end from @final where not closed and b is not null group by a, b),
+near as (select i.a, i.b, i.n from @inside i left semi join ends e on e.a = i.a),
+begun as (select a, start, sum(case when start = b then n end) as n_same, sum(case when start <> b then n end) as n_longer
+  from (select a, b, n, explode(transform(sequence(1, least(length(b), @begin)), i -> left(b, i))) as start from near) group by a, start),
+lengthy as (select e.a, e.b, sum(case when i.b = e.b then i.n end) as n_same, sum(case when i.b <> e.b and startswith(i.b, e.b) then i.n end) as n_longer
+  from (select a, b, left(b, @begin) as start from ends where length(b) > @begin) e join (select a, b, n, left(b, @begin) as start from near where length(b) > @begin) i on i.a = e.a and i.start = e.start group by e.a, e.b)
+select e.a, e.b, e.n_end, coalesce(begun.n_same, l.n_same, 0) as n_same, coalesce(begun.n_longer, l.n_longer, 0) as n_longer
+from ends e left join begun on begun.a = e.a and begun.start = e.b left join lengthy l on l.a = e.a and l.b = e.b
 """
 
-# The same for the final word alone; words are met by their beginnings, those of more than
-# 32 characters by the first 32 and then as a whole.
+# The same for the final word alone.
 OF_WORD = """
-with ends as (select b, count(*) as w_end from @final where not closed group by b),
+with ends as (select b, count(*) as w_end from @final where not closed and b is not null group by b),
 words as (select b, sum(n) as n from @inside group by b),
 begun as (select start, sum(case when start = b then n end) as w_same, sum(case when start <> b then n end) as w_longer
-  from (select b, n, explode(transform(sequence(1, least(length(b), 32)), i -> left(b, i))) as start from words) group by start),
+  from (select b, n, explode(transform(sequence(1, least(length(b), @begin)), i -> left(b, i))) as start from words) group by start),
 lengthy as (select e.b, sum(case when w.b = e.b then w.n end) as w_same, sum(case when w.b <> e.b and startswith(w.b, e.b) then w.n end) as w_longer
-  from (select b, left(b, 32) as start from ends where length(b) > 32) e join (select b, n, left(b, 32) as start from words where length(b) > 32) w on w.start = e.start group by e.b)
+  from (select b, left(b, @begin) as start from ends where length(b) > @begin) e join (select b, n, left(b, @begin) as start from words where length(b) > @begin) w on w.start = e.start group by e.b)
 select e.b, e.w_end, coalesce(begun.w_same, l.w_same, 0) as w_same, coalesce(begun.w_longer, l.w_longer, 0) as w_longer
 from ends e left join begun on begun.start = e.b left join lengthy l on l.b = e.b
 """
 
-# A text is cut if its structure is open, or, without a mark at its end that ends sentences,
-# if its last word only begins the words that stand in its place elsewhere, or if its final
-# trigram and its last word stand inside texts but almost never at an end.
+# A text is cut if its final trigram, with the last word as it stands or going on, is frequent
+# inside texts and almost never at an end, and if its last word, too, ends few texts. A last
+# word that never stands inside texts after any two words, but begins frequent ones, is cut.
 DECIDED = """
-select f.doc_id, f.source, f.a, f.b, n_end, n_same, n_longer, w_end, w_same, w_longer,
-  f.unclosed or f.broken_escape or (not f.closed and not f.parted and f.a is not null and not rlike(f.b, '^[.!?。…:>-]$') and (
-    (n_same + n_longer >= @frequent and n_end - 1 <= @share * (n_same + n_longer) and (w_end <= @word_share * w_same or n_same >= 100 and n_end <= @word_share * n_same))
-    or (not rlike(f.b, '^0+$') and n_same = 0 and n_longer > 0 and w_end <= greatest(1, @share * (w_same + w_longer)))
-    or (not rlike(f.b, '^0+$') and w_same = 0 and w_longer >= @frequent and w_end <= @share * w_longer))) as is_cut
-from @final f left join @of_trigram t on t.a = f.a and t.b = f.b left join @of_word w on w.b = f.b
+with judged as (select *, n_same + n_longer >= @frequent and n_end - 1 <= @share * (n_same + n_longer) as rare_end,
+    not closed and not parted and b is not null and not rlike(b, '^[.!?。…:>-]$') as open, not rlike(b, '^0+$') as worded from @met)
+select doc_id, source, a, b, n_end, n_same, n_longer, w_end, w_same, w_longer, unclosed, broken_escape,
+  case when open and rare_end and (w_end <= @word_share * w_same or n_same >= 100 and n_end <= @word_share * n_same) then 'sentence'
+    when open and rare_end and worded and n_same = 0 and w_end <= greatest(1, @share * (w_same + w_longer)) then 'word'
+    when open and worded and w_same = 0 and n_same + n_longer < @frequent and w_longer >= @frequent and w_end <= @share * w_longer then 'unseen' end as how
+from judged
 """
 
 
 def _sql(query: str, **tables: DataFrame) -> DataFrame:
-    """The query over temporary views of the given tables."""
+    """The query over the given tables; their views are dropped once it is analysed."""
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        view = f"_trussline_{name}_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(view)
+    views = {name: f"_trussline_{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createOrReplaceTempView(view)
         query = query.replace(f"@{name}", view)
-    return spark.sql(query)
+    try:
+        return spark.sql(query)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def truncated(documents: DataFrame, frequent: int = FREQUENT, share: float = TERMINAL_SHARE) -> DataFrame:
-    """doc_id, source, the final trigram with its counts, and ``is_cut``, for every text.
+    """doc_id, source, the final trigram with its counts, ``how`` and ``is_cut``, for every text.
+
+    ``how`` names what shows the cut: ``sentence`` (the final trigram), ``word`` (the final
+    trigram with its last word going on) or ``unseen`` (a last word that only begins others,
+    after two words that tell too little). ``unclosed`` (an outer MIME boundary that never
+    closes) and ``broken_escape`` are told beside it and decide nothing.
 
     Null, empty and blank texts have no row. A text of fewer than three words has no final
-    trigram and is judged by its structure alone, so never cut for its words. Counts run over all texts. A hot final trigram
-    (a footer that a third of all texts end with) is counted before any join.
+    trigram and so is never cut. Counts run over all texts. A hot final trigram (a footer that
+    a third of all texts end with) is counted before any join, and its texts are salted.
     """
     words = cut(_sql(PREPARED.replace("@word", _WORD), documents=documents))
     inside = cut(_sql(INSIDE, words=words))
-    final = _sql(FINAL, words=words)
-    tri, word = _sql(OF_TRIGRAM, final=final, inside=inside), _sql(OF_WORD, final=final, inside=inside)
-    return _sql(DECIDED.replace("@frequent", str(frequent)).replace("@share", str(share)).replace("@word_share", str(WORD_SHARE)), final=final, of_trigram=tri, of_word=word)
+    final = cut(_sql(FINAL, words=words))
+    tri, word = (_sql(q.replace("@begin", str(BEGIN)), final=final, inside=inside) for q in (OF_TRIGRAM, OF_WORD))
+    hot = hot_values(final, ["b"])["b"]
+    often = F.col("b").isin(hot) if hot else F.lit(False)
+    met = salted_join(salted_join(final, tri, ["a", "b"], often, F.col("doc_id")), word, ["b"], often, F.col("doc_id"))
+    told = _sql(DECIDED.replace("@frequent", str(frequent)).replace("@share", str(share)).replace("@word_share", str(WORD_SHARE)), met=met)
+    return told.withColumn("is_cut", F.col("how").isNotNull())
 
 
 def truncation_shares(documents: DataFrame) -> DataFrame:
