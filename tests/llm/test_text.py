@@ -143,10 +143,10 @@ def test_cut_texts_are_found(spark):
     cuts = [w[: w.index("gate") + 2] for w in whole[:5]] + [w[: w.index(" for ") + 4] for w in whole[5:10] if " for " in w]
     part = 'Content-Type: multipart/mixed; boundary="=_x"\n\n--=_x\n\nhi there you\n--=_x\nContent-Transfer-Encoding: base64\n\n'
     mime = [part + "QUJD" * 19 + "\nQUJ", part + "QUJD" * 19 + "\nQUI=\n--=_x--\n"]
-    sent_whole = [f"{part}{'QUJD' * 19}\nQ{i}I=\n--=_x--\n" for i in range(40)]
+    sent_whole = [f"{part}{'QUJD' * 19}\nQ{i}I=\n--=_x--\n" for i in range(150)]
     texts = [*whole, *cuts, *mime, None, "", " \n", "ok", "The forem", "x" * 200_000, whole[0], cuts[0], *sent_whole]
     got = {r.doc_id for r in truncation.truncated(docs(spark, texts)).where("is_cut").collect()}
-    want = {*range(300, 300 + len(cuts) + 1), len(texts) - 41}
+    want = {*range(300, 300 + len(cuts) + 1), len(texts) - 151}
     assert got == want
     shares = truncation.truncation_shares(docs(spark, texts)).first()
     assert shares.n_cut == len(want) and shares.n_texts == len(texts) - 3
