@@ -159,3 +159,16 @@ def test_cut_within_a_long_address(spark):
     texts = [*whole, f"The planner asks quickly {address[:45]}", f"The planner asks slowly {address}"]
     got = {r.doc_id for r in truncation.truncated(docs(spark, texts)).where("is_cut").collect()}
     assert got == {len(whole)}
+
+
+def test_damage_without_suspect_characters_does_not_teach_the_model(spark):
+    clean = [c.format(i) for i in range(200) for c in CLEAN]
+    sly = [f"Wykoñczenie {i}" for i in range(3)]
+    rows = clean + [f"Wykończenie {i}" for i in range(900)] + sly + ["Helgskift – kväll 3"] * 4
+    got = {r.name: (r.restored, r.by_model) for r in mojibake.garbled(names(spark, rows)).collect()}
+    assert got == {f"Wykoñczenie {i}": (f"Wykończenie {i}", True) for i in range(3)}
+
+
+def test_digits_return_to_their_places(spark):
+    df = spark.createDataFrame([("a00b0", "a12b3"), ("0", "7"), ("ab", "ab"), ("a0", "a"), (None, "1")], "shape string, name string")
+    assert [r[0] for r in df.select(mojibake.with_digits(F.col("shape"), F.col("name"))).collect()] == ["a12b3", "7", "ab", None, None]
