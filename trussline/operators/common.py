@@ -31,11 +31,19 @@ def key_of(c: Column | str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is named."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is named.
+
+    On a cluster the executors could not read a folder of this machine, so there a missing
+    setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="trussline-"))
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="trussline-")
+            atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
+        named = _OWN["dir"]
     return named
 
 
@@ -43,19 +51,21 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back, without its lineage.
 
     A written table costs one pass over the plan, where checkpoint() computes it twice. The
-    files outlive executors, and are dropped when the session's folder is.
+    files outlive executors, and are deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/trussline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_values(df: DataFrame, columns: Sequence[str], share: float = 0.02) -> dict[str, list[str]]:
-    """Values holding at least about ``share`` of a column's rows, per column.
+def sketch(df: DataFrame, columns: Sequence[str], share: float = 0.02) -> tuple[int, dict[str, list[str]]]:
+    """The number of rows, and the values holding at least about ``share`` of a column's rows.
 
     One scan with a bounded frequent-items sketch; at most ``1/share`` values a column come
-    to the driver. The answer steers salting only, so its error never changes a result.
+    to the driver. The values steer salting only, so their error never changes a result.
     """
     k = max(1, int(1 / share))
     row = df.agg(
@@ -63,12 +73,22 @@ def hot_values(df: DataFrame, columns: Sequence[str], share: float = 0.02) -> di
         *[F.expr(f"approx_top_k(cast({c} as string), {k}, {20 * k})").alias(f"top_{i}") for i, c in enumerate(columns)],
     ).first()
     least = max(1.0, row["n"] * share)
-    return {
+    return row["n"], {
         c: sorted(x["item"] for x in row[f"top_{i}"] or [] if x["item"] is not None and x["count"] >= least)
         for i, c in enumerate(columns)
     }
 
 
+def hot_values(df: DataFrame, columns: Sequence[str], share: float = 0.02) -> dict[str, list[str]]:
+    """The values of :func:`sketch`."""
+    return sketch(df, columns, share)[1]
+
+
+def one_of(column: str, values: Sequence[str]) -> Column:
+    """Whether the column holds one of the values; false for none."""
+    return F.col(column).isin(*values) if values else F.lit(False)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

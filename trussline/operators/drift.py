@@ -173,7 +173,7 @@ def schema_changes(feed: DataFrame) -> DataFrame:
     files is never retyped. Repeated rows change nothing; a feed's first file, and an empty
     table, give no changes.
     """
-    rows = parsed(feed)
+    rows = cut(parsed(feed))
     pairs = cut(file_pairs(file_schemas(rows)))
     return changes_of(pairs, cut(renames(rows, pairs)))
 
@@ -239,7 +239,7 @@ def unified(feed: DataFrame) -> DataFrame:
     changed are united as text, the one type all of them cast to. A null value stays null.
     Every input row comes out once, repeated ones too.
     """
-    rows = parsed(feed)
+    rows = cut(parsed(feed))
     schemas = cut(file_schemas(rows))
     pairs = cut(file_pairs(schemas))
     told = canonical_names(schemas, cut(renames(rows, pairs)))

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.operators.common import cut, hot_values, key_of, salted_join
+from trussline.operators.common import cut, hot_values, key_of, one_of, salted_join, sketch
 
 #: Components up to this many nodes are walked in one task; larger ones by joins.
 MAX_COMPONENT = 200_000
 #: Nodes walked per call of the kernel, which holds whole components only.
 CHUNK = 50_000
+#: Path members that a batch of results holds, about.
+MEMBERS = 500_000
 
 RESULT = "id string, parent string, root string, depth int, path array<string>, cycle_id string, on_cycle boolean"
 
@@ -29,7 +31,7 @@ def links_of(rows: DataFrame, node: str, parent: str) -> DataFrame:
     nodes = raw.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("loaded_at", "parent"))["parent"].alias("parent"))
     hot = hot_values(raw, ["parent"])["parent"]
     there = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
-    joined = salted_join(nodes, there, ["parent"], F.col("parent").isin(hot) if hot else F.lit(False), F.col("id"))
+    joined = salted_join(nodes, there, ["parent"], one_of("parent", hot), F.col("id"))
     return joined.select("id", F.when(F.col("_there"), F.col("parent")).alias("parent"))
 
 
@@ -43,39 +45,37 @@ def components(links: DataFrame) -> DataFrame:
     the cycle and the least id it saw has gone all the way round.
     """
     state = cut(links.select("id", "parent", F.coalesce("parent", "id").alias("top"), F.col("parent").isNull().alias("done"), F.col("id").alias("low")))
-    moving, reach = state.where("not done").count(), 1
-    cyclic = False
+    settled, active = state.where("done"), state.where("not done")
+    (moving, hot), reach, cyclic = sketch(active, ["top"]), 1, False
     while moving and not (cyclic and reach > moving):
-        ahead = state.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"), F.col("low").alias("_low"))
-        active = state.where("not done")
-        hot = hot_values(active, ["top"])["top"]
-        met = salted_join(active, ahead.where("not _done") if cyclic else ahead, ["top"], F.col("top").isin(hot) if hot else F.lit(False), F.col("id"), "inner")
-        stepped = met.select("id", "parent", F.col("_top").alias("top"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"))
-        state = cut(stepped.unionByName(state.where("done")))
+        ahead = (active if cyclic else active.unionByName(settled)).select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"), F.col("low").alias("_low"))
+        met = salted_join(active, ahead, ["top"], one_of("top", hot["top"]), F.col("id"), "inner")
+        state = cut(met.select("id", "parent", F.col("_top").alias("top"), F.col("_done").alias("done"), F.least("low", "_low").alias("low")))
+        settled, active = settled.unionByName(state.where("done")), state.where("not done")
         reach *= 2
-        left = state.where("not done").count()
+        left, hot = sketch(active, ["top"])
         cyclic, moving = cyclic or left == moving, left
+    state = settled.unionByName(active)
     if not moving:
         return state.select("id", "parent", F.col("top").alias("comp"), F.lit(False).alias("cyclic"))
     loops = state.where("not done")
     ends = loops.select(F.col("id").alias("top"), F.col("low").alias("comp"))
-    hot = hot_values(loops, ["top"])["top"]
-    found = salted_join(loops.drop("low"), ends, ["top"], F.col("top").isin(hot) if hot else F.lit(False), F.col("id"), "inner")
+    found = salted_join(loops.drop("low"), ends, ["top"], one_of("top", hot["top"]), F.col("id"), "inner")
     return state.where("done").select("id", "parent", F.col("top").alias("comp"), F.lit(False).alias("cyclic")).unionByName(found.select("id", "parent", "comp", F.lit(True).alias("cyclic")))
 
 
-def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
+def walk(ids: list[str], parents: list[str | None]) -> Iterator[tuple]:
     """Depth-first walk with node colours; a row of :data:`RESULT` for each node.
 
     White nodes are unseen, grey ones on the current walk towards the parents, black ones
     finished. Meeting a grey node closes a back edge: the grey walk from there on is a cycle.
+    Then the trees are walked down from their roots; only the current path is held.
     """
     at = {x: i for i, x in enumerate(ids)}
     up = [-1 if p is None else at[p] for p in parents]
-    colour, depth = bytearray(len(ids)), [0] * len(ids)
-    path: list[list[str] | None] = [None] * len(ids)
+    colour, on = bytearray(len(ids)), bytearray(len(ids))
     cycle: list[str | None] = [None] * len(ids)
-    on = bytearray(len(ids))
+    below: dict[int, list[int]] = {}
     for first in range(len(ids)):
         stack, x = [], first
         while x >= 0 and colour[x] == 0:
@@ -89,14 +89,23 @@ def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
                 cycle[y], on[y], colour[y] = name, 1, 2
             stack = stack[: len(stack) - len(loop)]
         for y in reversed(stack):
-            p = up[y]
-            if p >= 0 and cycle[p] is not None:
-                cycle[y] = cycle[p]
-            else:
-                path[y] = [*path[p], ids[y]] if p >= 0 else [ids[y]]
-                depth[y] = len(path[y]) - 1
             colour[y] = 2
-    return [(ids[i], parents[i], path[i][0] if path[i] else None, depth[i] if path[i] else None, path[i], cycle[i], bool(on[i])) for i in range(len(ids))]
+            if up[y] >= 0:
+                cycle[y] = cycle[up[y]]
+                if cycle[y] is None:
+                    below.setdefault(up[y], []).append(y)
+    for root in range(len(ids)):
+        if cycle[root] is not None:
+            yield ids[root], parents[root], None, None, None, cycle[root], bool(on[root])
+        elif up[root] < 0:
+            path: list[str] = []
+            todo = [(root, 0)]
+            while todo:
+                y, depth = todo.pop()
+                del path[depth:]
+                path.append(ids[y])
+                yield ids[y], parents[y], path[0], depth, path[:], None, False
+                todo += [(z, depth + 1) for z in below.get(y, ())]
 
 
 def _walk_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +114,19 @@ def _walk_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     names = ["id", "parent", "root", "depth", "path", "cycle_id", "on_cycle"]
 
     def done(ids: list[str], parents: list[str | None]) -> Iterator[pa.RecordBatch]:
-        rows = walk(ids, parents)
-        for k in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), types, strict=True)], names=names)
+        rows: list[tuple] = []
+        members = 0
+        for row in walk(ids, parents):
+            rows.append(row)
+            members += 1 + len(row[4] or ())
+            if members >= MEMBERS or len(rows) >= 10_000:
+                yield batch_of(rows)
+                rows, members = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     ids: list[str] = []
     parents: list[str | None] = []
@@ -138,11 +157,13 @@ def hierarchy(rows: DataFrame, node: str, parent: str, max_component: int = MAX_
 
 def _placed(comps: DataFrame, max_component: int) -> DataFrame:
     """The rows of :data:`RESULT` for nodes with their components, by walks or by joins."""
-    sizes = comps.groupBy("comp").count().where(F.col("count") > max_component).select("comp")
-    large = [r["comp"] for r in sizes.toLocalIterator()]  # at most nodes / max_component of them
-    small = comps.where(~F.col("comp").isin(large)) if large else comps
-    walked = small.repartition("comp").sortWithinPartitions("comp").select("id", "parent", "comp").mapInArrow(_walk_components, RESULT)
-    return walked.unionByName(doubled(comps.where(F.col("comp").isin(large)))) if large else walked
+    large = cut(comps.groupBy("comp").count().where(F.col("count") > max_component).select("comp", F.lit(True).alias("_large")))
+    some = not large.isEmpty()
+    # Every large component is hot; together they are a max_component-th of the nodes at most.
+    marked = cut(salted_join(comps, large, ["comp"], None, F.col("id"))) if some else comps
+    small = (marked.where("_large is null") if some else comps).select("id", "parent", "comp")
+    walked = small.repartition("comp").sortWithinPartitions("comp").mapInArrow(_walk_components, RESULT)
+    return walked.unionByName(doubled(marked.where("_large").drop("_large"))) if some else walked
 
 
 def doubled(comps: DataFrame) -> DataFrame:
@@ -152,7 +173,7 @@ def doubled(comps: DataFrame) -> DataFrame:
     while not (active := state.where("next is not null")).isEmpty():
         ahead = state.select(F.col("id").alias("next"), F.col("path").alias("_path"), F.col("next").alias("_next"))
         hot = hot_values(active, ["next"])["next"]
-        met = salted_join(active, ahead, ["next"], F.col("next").isin(hot) if hot else F.lit(False), F.col("id"), "inner")
+        met = salted_join(active, ahead, ["next"], one_of("next", hot), F.col("id"), "inner")
         state = cut(met.select("id", "parent", "comp", F.concat("_path", "path").alias("path"), F.col("_next").alias("next")).unionByName(state.where("next is null")))
     out = state.select("id", "parent", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "path", F.lit(None).cast("string").alias("cycle_id"), F.lit(False).alias("on_cycle"))
     loops = comps.where("cyclic").select("id", "parent", "comp")
@@ -167,7 +188,8 @@ def _on_cycle(loops: DataFrame) -> DataFrame:
     n = loops.count()
     step = loops.select("id", F.col("parent").alias("far"))
     for _ in range(max(1, math.ceil(math.log2(n + 1)))):
-        step = cut(step.join(step.select(F.col("id").alias("far"), F.col("far").alias("_far")), "far").select("id", F.col("_far").alias("far")))
+        hot = hot_values(step, ["far"])["far"]
+        step = cut(salted_join(step, step.select(F.col("id").alias("far"), F.col("far").alias("_far")), ["far"], one_of("far", hot), F.col("id"), "inner").select("id", F.col("_far").alias("far")))
     return step.select(F.col("far").alias("id"), F.lit(True).alias("_on")).distinct()
 
 
@@ -197,7 +219,7 @@ def below_cycles(tree: DataFrame, max_component: int = MAX_COMPONENT) -> DataFra
     on = opened.join(loops.where("on_cycle").select("id"), "id").select("cycle_id", F.col("id").alias("_id"), F.col("depth").alias("_at"))
     ring = on.join(on.groupBy("cycle_id").agg(F.count(F.lit(1)).cast("int").alias("_round")), "cycle_id")
     hot = hot_values(opened, ["cycle_id"])["cycle_id"]
-    met = salted_join(opened, ring, ["cycle_id"], F.col("cycle_id").isin(hot) if hot else F.lit(False), F.col("id"), "inner")
+    met = salted_join(opened, ring, ["cycle_id"], one_of("cycle_id", hot), F.col("id"), "inner")
     behind = met.where(~F.get("path", F.col("_at")).eqNullSafe(F.col("_id")))
     return descendants(opened).unionByName(behind.select(F.col("_id").alias("id"), F.col("id").alias("below_id"), (F.col("depth") - F.col("_at") + F.col("_round")).alias("levels")))
 

@@ -7,7 +7,7 @@ only those are read by the strict scanner that names the reason.
 
 from __future__ import annotations
 
-import io
+import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Lines per join block: no (file, block) key can hold more.
 BLOCK_LINES = 4096
-#: At this size a failing block is read strictly, line by line.
-STRICT_LINES = 8
+#: Blocks of so many lines are read strictly, line by line: a bulk parse costs as much.
+STRICT_LINES = 32
 DECIMAL = r"^(?: *[+-]?[0-9]+(?:\.[0-9]+)? *)?$"
 #: Patterns of the line contract, by table and field (RE2 and Python read them alike).
 VALUE_RULES: dict[str, dict[str, str]] = {
@@ -100,14 +100,12 @@ def scan_strictly(line: str) -> list[str] | None:
 
 
 def _bulk(lines: pa.Array, fields: list[str], rules: Mapping[str, str]) -> list[pa.Array] | None:
-    """Columns of a block, or None if any record in it fails."""
-    if not pc.all(pc.match_substring_regex(lines, WELL_QUOTED)).as_py():
-        return None
-    data = "\n".join(lines.to_pylist()).encode()
+    """Columns of a block of well-quoted records, or None if any record in it fails."""
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer()
     names = [str(i) for i in range(len(fields) + 1)]
     try:
         table = pacsv.read_csv(
-            io.BytesIO(data),
+            pa.BufferReader(data),
             read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 16, len(data) + 2)),
             parse_options=pacsv.ParseOptions(delimiter="\t", newlines_in_values=False, ignore_empty_lines=False),
             convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
@@ -123,29 +121,45 @@ def _bulk(lines: pa.Array, fields: list[str], rules: Mapping[str, str]) -> list[
     return cols
 
 
-def _parse(lines: pa.Array, fields: list[str], rules: Mapping[str, str], out: list[tuple[list[str] | None, str | None]]) -> None:
-    """Append (values, reason) of each line, in order."""
-    import re
+def _rows_of(cols: list[pa.Array], n: int) -> pa.Array:
+    """Columns of ``n`` records as one list of values for each record."""
+    if not cols:
+        return pa.array([[]] * n, pa.list_(pa.string()))
+    by_row = np.arange(len(cols) * n).reshape(len(cols), n).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(cols)), pa.concat_arrays(cols).take(pa.array(by_row)))
+
+
+def _strict(lines: pa.Array, fields: list[str], rules: Mapping[str, str]) -> Iterator[tuple[list[str] | None, str | None]]:
+    """(values, reason) of each record, read by the strict scanner."""
+    checks = [(fields.index(n), re.compile(r[1:-1]).fullmatch) for n, r in rules.items() if n in fields]
+    for line in lines.to_pylist():
+        vals = scan_strictly(line)
+        if vals is None:
+            yield None, "quoting"
+        elif len(vals) != len(fields):
+            yield vals, "columns"
+        else:
+            yield vals, "value" if any(not fits(vals[i]) for i, fits in checks) else None
+
+
+Piece = tuple[np.ndarray, pa.Array, pa.Array]
 
+
+def _parse(lines: pa.Array, quoted: np.ndarray, at: np.ndarray, fields: list[str], rules: Mapping[str, str], keep: str) -> Iterator[Piece]:
+    """Pieces (places, values, reasons) of the records that ``keep`` asks for, in order."""
     if len(lines) <= STRICT_LINES:
-        for line in lines.to_pylist():
-            vals = scan_strictly(line)
-            if vals is None:
-                out.append((None, "quoting"))
-            elif len(vals) != len(fields):
-                out.append((vals, "columns"))
-            else:
-                bad = any(n in fields and not re.fullmatch(r[1:-1], vals[fields.index(n)]) for n, r in rules.items())
-                out.append((vals, "value" if bad else None))
+        told = [(i, v, r) for i, (v, r) in zip(at, _strict(lines, fields, rules), strict=True) if keep == "all" or (r is None) == (keep == "good")]
+        if told:
+            yield np.array([i for i, _, _ in told]), pa.array([v for _, v, _ in told], pa.list_(pa.string())), pa.array([r for _, _, r in told], pa.string())
         return
-    cols = _bulk(lines, fields, rules)
+    cols = _bulk(lines, fields, rules) if quoted.all() else None
     if cols is not None:
-        grid = [c.to_pylist() for c in cols]
-        out.extend(([*row], None) for row in zip(*grid, strict=True)) if grid else out.extend(([], None) for _ in range(len(lines)))
+        if keep != "bad":
+            yield at, _rows_of(cols, len(lines)), pa.nulls(len(lines), pa.string())
         return
     half = len(lines) // 2
-    _parse(lines[:half], fields, rules, out)
-    _parse(lines[half:], fields, rules, out)
+    yield from _parse(lines[:half], quoted[:half], at[:half], fields, rules, keep)
+    yield from _parse(lines[half:], quoted[half:], at[half:], fields, rules, keep)
 
 
 def parse_records(records: DataFrame, rules: Mapping[str, Mapping[str, str]] = VALUE_RULES, keep: str = "all") -> DataFrame:
@@ -154,34 +168,34 @@ def parse_records(records: DataFrame, rules: Mapping[str, Mapping[str, str]] = V
     ``records``: line_id, file_id, line_no, tab, fields, line (as by :func:`record_lines`).
     Reasons, the first that applies: ``quoting``, ``columns`` (number of values), ``value``.
     A record with broken quotes has null ``vals``. ``keep``: all, good or bad rows. Repeated
-    rows count each time; extra columns of the input are ignored; an empty input gives none.
+    rows count each time; null lines are left out; extra columns of the input are ignored; an
+    empty input gives none.
     """
     plain = {t: dict(r) for t, r in rules.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = pa.schema([("line_id", pa.int64()), ("file_id", pa.string()), ("line_no", pa.int32()), ("tab", pa.string()), ("fields", pa.list_(pa.string())), ("vals", pa.list_(pa.string())), ("reason", pa.string())])
         for batch in batches:
-            tabs, heads = batch.column("tab").to_pylist(), batch.column("fields").to_pylist()
-            groups: dict[tuple[str, tuple[str, ...]], list[int]] = {}
-            for i, (tab, head) in enumerate(zip(tabs, heads, strict=True)):
-                groups.setdefault((tab, tuple(head)), []).append(i)
-            lines = batch.column("line")
-            for (tab, head), rows in groups.items():
-                at = pa.array(rows)
-                out: list[tuple[list[str] | None, str | None]] = []
-                _parse(lines.take(at).cast(pa.string()), list(head), plain.get(tab, {}), out)
-                if keep != "all":
-                    chosen = np.array([(r is None) == (keep == "good") for _, r in out], dtype=bool)
-                    if not chosen.any():
-                        continue
-                    at, out = at.filter(pa.array(chosen)), [x for x, c in zip(out, chosen, strict=True) if c]
+            heads, lines = batch.column("head").cast(pa.string()).dictionary_encode(), batch.column("line").cast(pa.string())
+            codes, quoted = heads.indices.to_numpy(), np.asarray(pc.match_substring_regex(lines, WELL_QUOTED))
+            for code, head in enumerate(heads.dictionary.to_pylist()):
+                tab, *fields = head.split("\t")
+                rows = np.flatnonzero(codes == code)
+                pieces = [*_parse(lines.take(pa.array(rows)), quoted[rows], rows, fields, plain.get(tab, {}), keep)]
+                if not pieces:
+                    continue
+                at = pa.array(np.concatenate([p[0] for p in pieces]))
+                same = pa.array(np.zeros(len(at), dtype=np.int32))
                 part = batch.take(at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("line_id"), part.column("file_id"), part.column("line_no").cast(pa.int32()), part.column("tab"), part.column("fields").cast(pa.list_(pa.string())), pa.array([v for v, _ in out], pa.list_(pa.string())), pa.array([r for _, r in out], pa.string())],
-                    schema=target,
+                    [
+                        part.column("line_id"), part.column("file_id").cast(pa.string()), part.column("line_no").cast(pa.int32()), pa.array([tab], pa.string()).take(same),
+                        pa.array([fields], pa.list_(pa.string())).take(same), pa.concat_arrays([p[1] for p in pieces]), pa.concat_arrays([p[2] for p in pieces]),
+                    ],
+                    names=["line_id", "file_id", "line_no", "tab", "fields", "vals", "reason"],
                 )
 
-    return records.mapInArrow(run, RESULT)
+    head = F.array_join(F.concat(F.array("tab"), "fields"), "\t")
+    return records.where(F.col("line").isNotNull()).select("line_id", "file_id", "line_no", head.alias("head"), "line").mapInArrow(run, RESULT)
 
 
 def rejected(lines: DataFrame, tables: tuple[str, ...] = ("TASK", "TASKPRED")) -> DataFrame:

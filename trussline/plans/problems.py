@@ -189,5 +189,8 @@ SQL: dict[str, str] = {
     "p4_found": _DRIFT,
     "p5_found": _CYCLES,
     "p5_paths": f"{_WBS} select id as wbs_id, root as root_wbs_id, depth::bigint as depth, array_to_string(path, ' > ') as path from t",
-    "p5_below": f"{_WBS} select a as wbs_id, id as below_wbs_id, (len(path) - i)::bigint as levels from (select id, path, unnest(path) as a, generate_subscripts(path, 1) as i from t) where a <> id",
+    "p5_below": f"""{_WBS}, x as (select id, parent from n where id not in (select id from t)),
+w as (select id, parent as pos, 1 as step from x union all select w.id, x.parent, step + 1 from w join x on x.id = w.pos where step < (select count(*) from x))
+select a as wbs_id, id as below_wbs_id, (len(path) - i)::bigint as levels from (select id, path, unnest(path) as a, generate_subscripts(path, 1) as i from t) where a <> id
+union all select pos, id, min(step)::bigint from w where pos <> id group by pos, id""",
 }
