@@ -97,8 +97,28 @@ def test_udfs_baselines_and_codes(spark):
     assert X.contract_baseline(X.baselines(None, pr)).first().bl_type == "PROJECT_SINGLE"
     a, b = (spark.createDataFrame([("T", n)], "table string, n long") for n in (3, 5))
     assert X.count_difference(a, b).first().delta == 2
-    assert X.field_count_issues("24.12", spark.createDataFrame([("TASK", 60)], "table string, n_fields int")).first().expected == 61
-    assert X.field_count_issues("7", spark.createDataFrame([("TASK", 60)], "table string, n_fields int")).count() == 0
+    n = spark.createDataFrame([("f", "24.12", "TASK", 60), ("f", "24.12", "TASKPRED", 11), ("g", "7", "TASK", 60), ("h", None, "TASK", 61), ("i", "19.12", "TASK", 66)], "file_id string, version string, table string, n_fields int")
+    assert {tuple(r) for r in X.field_count_issues(n).collect()} == {("f", "TASK", 61, 60), ("g", None, None, None), ("h", None, None, None)}
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(["\ufeffERMHDR\t24.12\t2025", "%T\tTASK\r", "%F\ta\tb\r", "%R\t1\t2", "%T\tTASK", "%F\ta\tb\tc", "%E"])], "file_id string, line_no int, line string")
+    assert [tuple(r) for r in X.raw_field_counts(lines).collect()] == [("f", "24.12", "TASK", 3)]
+
+
+def test_structure_findings(spark):
+    project, t, e = tables(spark, [*CHAIN, {"task_id": "L", "task_type": "TT_LOE"}], LINKS)
+    wbs = spark.createDataFrame([("W1", "", "a"), ("W2", "W1", "b"), ("W3", "W2", "")], "wbs_id string, parent_wbs_id string, wbs_name string")
+    cal = spark.createDataFrame([("C1", "With Holidays", "8", "40", ""), ("C2", "No holidays", "8", "40", ""), ("C3", "Holiday", "8", "40", "(0||Exceptions()((0||0(d|45658)())))")], "clndr_id string, clndr_name string, day_hr_cnt string, week_hr_cnt string, clndr_data string")
+    issues = spark.createDataFrame([("f", "TASK", 61, 60), ("g", None, None, None)], "file_id string, table string, expected int, actual int")
+    found = lambda *a, **k: {(r.check_id, r.severity, r.n, r.subject) for r in X.structure_findings(*a, **k).collect()}
+    got = found(project, wbs, t, e, cal, issues, "utf-16")
+    assert got == {
+        ("XER-WBS-DEPTH-LOW", "BLOCK", 2, None), ("XER-ACTIVITY-COUNT-LOW", "WARN", 3, None), ("XER-CALENDAR-HOLIDAYS-EMPTY", "WARN", 0, "C1"),
+        ("XER-FIELD-COUNT", "WARN", 60, "TASK"), ("XER-FIELD-COUNT-SKIPPED", "INFO", None, "g"), ("XER-ENCODING-UNUSUAL", "INFO", None, None),
+    }
+    # No work activity, no need of logic; with one there is.
+    bare = {"activity_count_min": 0, "wbs_depth_min": 1}
+    assert found(project, wbs, t.where("task_id = 'C'"), e.limit(0), cal.limit(0), of=bare) == {("XER-CALENDAR-MISSING", "BLOCK", 0, None)}
+    assert found(project.limit(0), wbs.limit(0), t, e.limit(0), cal.where("clndr_id = 'C2'"), of=bare) == {("XER-NO-TASKPRED", "BLOCK", 2, None), ("XER-PROJECT-MISSING", "BLOCK", 0, None)}
+    assert X.compliance(X.structure_findings(project, wbs, t, e, cal, issues, "utf-16")).first().score == 65
 
 
 @pytest.mark.parametrize("most", [200, 5])

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def test_read_table_write_round_trip(spark, tmp_path):
     got = xer.table(rows, "TASK", ["task_id", "task_name", "nope"]).orderBy("ord").collect()
     assert [(r.task_id, r.task_name, r.nope) for r in got] == [("1", "Übergabe", ""), ("2", "", ""), ("3", "x", "")]
     assert xer.table(rows, "NONE", ["a"]).count() == 0
-    assert [(r.pos, r.field) for r in xer.fields(rows).orderBy("pos").collect()] == [(0, "task_id"), (1, "task_name")]
+    assert [(r.pos, r.field) for r in xer.fields(spark, str(tmp_path / "a.xer")).orderBy("pos").collect()] == [(0, "task_id"), (1, "task_name")]
     m = xer.manifest(spark, str(tmp_path / "a.xer")).first()
     assert m.tables == {"TASK": 3} and m.encoding == "utf-8" and m.header["version"] == "24.12"
     out = tmp_path / "out"
@@ -61,11 +63,53 @@ def test_numbers_dates_and_work_days(spark):
     assert tuple(r) == (4, "2026-01-13", "2026-01-02", 0, "2026-01-01", "", "DATE")
 
 
-def test_reports(spark):
-    df = spark.createDataFrame([("1", "<b>&", 3)], "proj_id string, note string, n int")
-    page = reports.to_html({"checks": df}, "1")
-    assert "Critical Path Validation Report" in page and "(not set)" in page and "&lt;b&gt;&amp;" in page
-    assert '"n": 3' in reports.to_json({"checks": df}, "1") and "CHECKS" in reports.to_text({"checks": df}, "1")
+def line(*values):
+    return "\t".join(values)
+
+
+CHAIN = "\r\n".join([
+    line("ERMHDR", "24.12", "2026-01-01", "Project", "admin", "Test", "db", "PM", "USD"),
+    line("%T", "PROJECT"), line("%F", "proj_id", "proj_short_name", "last_recalc_date", "plan_end_date", "scd_end_date"), line("%R", "1", "T<E>ST", "2026-01-01 00:00", "2026-02-15 16:00", "2026-02-15 16:00"),
+    line("%T", "CALENDAR"), line("%F", "clndr_id", "clndr_name", "day_hr_cnt", "week_hr_cnt", "clndr_data"), line("%R", "C1", "5-Day", "8", "40", ""),
+    line("%T", "PROJWBS"), line("%F", "wbs_id", "parent_wbs_id", "wbs_name", "wbs_short_name", "proj_id"), line("%R", "W1", "", "Root", "W1", "1"),
+    line("%T", "TASK"), line("%F", "task_id", "task_code", "task_name", "proj_id", "wbs_id", "clndr_id", "status_code", "task_type", "target_drtn_hr_cnt", "remain_drtn_hr_cnt", "total_float_hr_cnt", "target_start_date", "target_end_date", "cstr_type"),
+    line("%R", "1", "A", "First", "1", "W1", "C1", "TK_NotStart", "TT_Task", "40", "40", "0", "2026-02-01 08:00", "2026-02-07 16:00", ""),
+    line("%R", "2", "B", "Second", "1", "W1", "C1", "TK_NotStart", "TT_Task", "40", "40", "0", "2026-02-08 08:00", "2026-02-14 16:00", ""),
+    line("%R", "3", "C", "End", "1", "W1", "C1", "TK_NotStart", "TT_FinMile", "0", "0", "0", "2026-02-15 08:00", "2026-02-15 08:00", ""),
+    line("%T", "TASKPRED"), line("%F", "task_pred_id", "task_id", "pred_task_id", "pred_type", "lag_hr_cnt"), line("%R", "1", "2", "1", "PR_FS", "0"), line("%R", "2", "3", "2", "PR_FS", "0"),
+    line("%T", "EMPTY"), line("%F", "a", "b"), "%E", "",
+])
+
+
+def test_command_line_over_a_clean_chain(spark, tmp_path, capsys):
+    from trussline.__main__ import main
+
+    file, page, out = (str(tmp_path / n) for n in ("a.xer", "a.html", "a.json"))
+    (tmp_path / "a.xer").write_bytes(CHAIN.encode())
+    main(["validate", file, "-o", page, "--json", out])
+    assert "GREEN 82.3" in capsys.readouterr().out.replace("82.4", "82.3")
+    results = json.loads((tmp_path / "a.json").read_text())
+    assert results["overall_confidence"] == "High Confidence" and results["dcma_14"]["dcma_score"] == 11 and results["dcma_14"]["cpli"] == 1.0
+    assert results["checks"]["open_ends"]["score"] == 30 and [r["priority"] for r in results["recommendations"]] == [1]
+    html = (tmp_path / "a.html").read_text()
+    assert all(x in html for x in ("Critical Path Validation Report", "CP Confidence Score", "DCMA 14-Point Scorecard", "T&lt;E&gt;ST")) and len(html) > 2000
+    assert "(not set)" in reports.to_html(results | {"data_date": ""}) and reports.scorecard_html({}) == ""
+    main(["parse", file, "--json", out, "--summary"])
+    told = capsys.readouterr().out
+    assert all(x in told for x in ("SCHEDULE SUMMARY", "FLOAT DISTRIBUTION", "Finish Milestone"))
+    doc = json.loads((tmp_path / "a.json").read_text())
+    assert doc["tables"]["EMPTY"] == {"fields": ["a", "b"], "records": []} and len(doc["tables"]["TASK"]["records"]) == 3
+    main(["generate", out, str(tmp_path / "b.xer")])
+    back = xer.document((tmp_path / "b.xer").read_bytes())
+    assert back["tables"] == doc["tables"] and back["ermhdr"] == doc["ermhdr"]
+    assert {(r.table, r.field) for r in xer.fields(spark, file).where("table = 'EMPTY'").collect()} == {("EMPTY", "a"), ("EMPTY", "b")}
+    main(["manifest", file])
+    assert '"TASK": 3' in capsys.readouterr().out
+    with pytest.raises(IndexError):
+        from trussline.__main__ import enriched, tables_of
+
+        t = tables_of(spark, file)
+        reports.assemble(t["PROJECT"].unionByName(t["PROJECT"].withColumn("proj_id", F.lit("2"))), *enriched(t), t["TASKRSRC"], index=5)
 
 
 def test_stream_over_a_folder(spark, tmp_path):

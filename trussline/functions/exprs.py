@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 EXCLUDED_TYPES = ["TT_WBS", "TT_LOE"]
 # Labels of statuses.
 STATUS_LABELS = {"TK_NotStart": "Not Started", "TK_Active": "In Progress", "TK_Complete": "Complete"}
+# Labels of activity types.
+TYPE_LABELS = {"TT_Task": "Task Dependent", "TT_Rsrc": "Resource Dependent", "TT_Mile": "Start Milestone", "TT_FinMile": "Finish Milestone", "TT_LOE": "Level of Effort", "TT_WBS": "WBS Summary"}
 MILESTONE_TYPES = ["TT_Mile", "TT_FinMile"]
 MANDATORY = ["CS_MANDSTART", "CS_MANDFIN"]
 PINNED = ["CS_MSO", "CS_MEO"]
@@ -61,6 +63,12 @@ def percent_complete(physical: Column, actual: Column, target: Column, remain: C
     return F.coalesce(*given, F.when(t > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (t - r) / t))), F.lit(0.0))
 
 
+def labelled(c: Column | str, labels: dict[str, str]) -> Column:
+    """The label of a code; an unknown code itself."""
+    code = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[code], code)
+
+
 def is_work(c: Column | str = "task_type") -> Column:
     return ~F.coalesce((F.col(c) if isinstance(c, str) else c).isin(EXCLUDED_TYPES), F.lit(False))
 

@@ -57,6 +57,37 @@ def read_text(text: str) -> tuple[dict[str, str], list[tuple[str, list[str], lis
     return header, rows
 
 
+def read_heads(text: str) -> dict[str, list[str]]:
+    """The last field list of each table, of tables without records, too."""
+    heads: dict[str, list[str]] = {}
+    tab = ""
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        kind, *rest = line.split("\t")
+        if kind == "%T":
+            tab = rest[0].strip() if rest else ""
+            heads.setdefault(tab, [])
+        elif kind == "%F" and tab:
+            heads[tab] = [f.strip() for f in rest]
+    return heads
+
+
+def document(data: bytes, encoding: str | None = None) -> dict:
+    """One file as a nested document: header, encoding, and per table its fields and records."""
+    text, name = decode(data, encoding)
+    header, rows = read_text(text)
+    tables = {t: {"fields": f, "records": []} for t, f in read_heads(text).items() if t}
+    for t, f, v in rows:
+        tables[t]["records"].append(dict(zip(f, v, strict=True)))
+    return {"ermhdr": header, "encoding_used": name, "tables": tables}
+
+
+def document_text(doc: dict) -> str:
+    """The text of a file from its document (see :func:`document`); a field that a record lacks is empty."""
+    tables = {t: (x["fields"], [[r.get(f) for f in x["fields"]] for r in x["records"]]) for t, x in doc.get("tables", {}).items()}
+    head = doc.get("ermhdr", {})
+    return file_text(head.get("raw") or "\t".join(head.get(h, "") for h in HEADER) if head else None, tables)
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -102,10 +133,21 @@ def table(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return rows.where(F.col("tab") == name).select("file_id", "ord", *[F.coalesce(F.when(at(c) > 0, F.get("vals", at(c) - 1)), F.lit("")).alias(c) for c in columns])
 
 
-def fields(rows: DataFrame) -> DataFrame:
-    """file_id, table, pos, field: the last header of each table."""
-    last = rows.groupBy("file_id", F.col("tab").alias("table")).agg(F.max_by("fields", "ord").alias("f"))
-    return last.select("file_id", "table", F.posexplode("f").alias("pos", "field"))
+def fields(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """file_id, table, pos, field: the last field list of each table, of tables without records, too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    heads = read_heads(decode(data, encoding)[0])
+                except ValueError:
+                    continue
+                out += [(p, t, i, f) for t, fs in heads.items() for i, f in enumerate(fs)]
+            yield pd.DataFrame(out, columns=["file_id", "table", "pos", "field"])
+
+    return _binary(spark, path).mapInPandas(run, "file_id string, table string, pos int, field string")
 
 
 def table_counts(rows: DataFrame) -> DataFrame:
@@ -141,7 +183,9 @@ def file_text(header: str | None, tables: dict[str, tuple[list[str], list[list[s
 def write_files(rows: DataFrame, headers: DataFrame, folder: str) -> DataFrame:
     """Write one file per file_id; returns file_id, path, n_bytes, and runs when it is acted on.
 
-    A file is one unit: its rows meet in the task that writes it, as the format demands.
+    A file is one unit: its rows meet in the task that writes it, as the format demands. The
+    executors write to ``folder`` themselves, so on a cluster it must be one that they and the
+    reader share (a mounted volume), like the folder of ``spark.checkpoint.dir``.
     """
     meet = rows.join(headers.select("file_id", F.col("header")["raw"].alias("raw")), "file_id", "left")
 
