@@ -57,3 +57,23 @@ def test_pairs_around_cycles(spark, limit):
     tree = H.hierarchy(spark.createDataFrame([(x, p, None, None) for x, p in links.items()], S), "wbs_id", "parent_wbs_id", max_component=limit)
     got = [(r.id, r.below_id, r.levels) for r in H.all_below(tree, limit).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_cycles_with_long_tails(spark, shuffled):
+    """Tails whose ids are below those of their cycle, and cycles of many lengths."""
+    rng = random.Random(12)
+    links, n = {}, 0
+    for length, tail in ((1, 40), (2, 0), (37, 90), (64, 3), (5, 5)):
+        ring = [f"Z{n + i:04d}" for i in range(length)]
+        n += length
+        if shuffled:
+            rng.shuffle(ring)
+        links |= dict(zip(ring, [*ring[1:], ring[0]], strict=True))
+        last = ring[length // 2]
+        for i in range(tail):
+            x = f"A{n + i:04d}" if i % 2 else f"Z{9999 - n - i}"
+            links[x], last = last, x
+        n += tail
+    got = {r.id: r.cycle_id for r in H.hierarchy(spark.createDataFrame([(x, p, None, None) for x, p in links.items()], S), "wbs_id", "parent_wbs_id").collect()}
+    assert got == {x: low for x, (_, low) in brute(links).items()}

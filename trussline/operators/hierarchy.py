@@ -40,19 +40,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Pointer doubling: a node's pointer doubles its reach each round, so a chain of depth d
     takes log2(d) rounds. Nodes whose pointer has come to a root leave the moving set. When a
-    round settles nobody, all that still move are on cycles or below (depths are contiguous);
-    the few that do go on until their reach exceeds their number, when the pointer stands on
-    the cycle and the least id it saw has gone all the way round.
+    round settles nobody, all that still move are on cycles or below (depths are contiguous).
+    They go on until each node pointed at has seen the same least id as the one that it points
+    at: then all along its pointers the same least id was seen, which on a cycle is that of the
+    whole cycle.
     """
     state = cut(links.select("id", "parent", F.coalesce("parent", "id").alias("top"), F.col("parent").isNull().alias("done"), F.col("id").alias("low")))
     settled, active = state.where("done"), state.where("not done")
-    (moving, hot), reach, cyclic = sketch(active, ["top"]), 1, False
-    while moving and not (cyclic and reach > moving):
+    (moving, hot), cyclic = sketch(active, ["top"]), False
+    while moving and not (cyclic and _all_round(active)):
         ahead = (active if cyclic else active.unionByName(settled)).select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"), F.col("low").alias("_low"))
         met = salted_join(active, ahead, ["top"], one_of("top", hot["top"]), F.col("id"), "inner")
         state = cut(met.select("id", "parent", F.col("_top").alias("top"), F.col("_done").alias("done"), F.least("low", "_low").alias("low")))
         settled, active = settled.unionByName(state.where("done")), state.where("not done")
-        reach *= 2
         left, hot = sketch(active, ["top"])
         cyclic, moving = cyclic or left == moving, left
     state = settled.unionByName(active)
@@ -64,6 +64,13 @@ def components(links: DataFrame) -> DataFrame:
     return state.where("done").select("id", "parent", F.col("top").alias("comp"), F.lit(False).alias("cyclic")).unionByName(found.select("id", "parent", "comp", F.lit(True).alias("cyclic")))
 
 
+def _all_round(active: DataFrame) -> bool:
+    """Whether every node pointed at saw the least id that the node it points at saw."""
+    seen = active.select("top").distinct().withColumnRenamed("top", "id").join(active.select("id", "top", "low"), "id")
+    ahead = active.select(F.col("id").alias("top"), F.col("low").alias("_low"))
+    return seen.join(ahead, "top").where("low <> _low").isEmpty()
+
+
 def walk(ids: list[str], parents: list[str | None]) -> Iterator[tuple]:
     """Depth-first walk with node colours; a row of :data:`RESULT` for each node.
 
