@@ -62,3 +62,18 @@ def test_any_number_of_renames_is_followed(spark):
 def test_flooding_prefers_like_names_and_types_without_values():
     s = R.flood([("crt_path_num", ["integer"]), ("note", ["string"])], [("crt_path_no", ["integer"]), ("remark", ["string"])], {})
     assert s["crt_path_num", "crt_path_no"] > max(s["crt_path_num", "remark"], s["note", "crt_path_no"])
+
+
+def test_flooding_decides_between_equal_values(spark):
+    """Three new names hold the old name's values: the one that is like it is the rename."""
+    files = {1: [{"task_id": str(i), "crt_path_num": i} for i in range(10)], 2: [{"task_id": str(i), "aa": i, "crt_path_no": i, "zz": i} for i in range(10)]}
+    assert changes(spark, files) == [(2, "aa", "added"), (2, "crt_path_no", "renamed"), (2, "zz", "added")]
+
+
+def test_columns_have_the_united_type(spark):
+    payloads = [(1, '{"task_id": 1, "a": 1, "b": 2, "c": true, "d": "x", "e": null}'), (2, '{"task_id": "2", "a": 3, "b": 2.5, "c": "no", "d": null, "extra": [1]}')]
+    raw = spark.createDataFrame([("F", n, n, p) for n, p in payloads], "feed_code string, file_no int, row_no int, payload string")
+    got = R.wide(raw, ["a", "b", "c", "d", "e", "nope"])
+    assert dict(got.dtypes) == {"feed_code": "string", "file_no": "int", "row_no": "int", "task_id": "string", "a": "bigint", "b": "double", "c": "string", "d": "string", "e": "string", "nope": "string", "other_fields": "string"}
+    assert [tuple(r)[3:] for r in got.orderBy("file_no").collect()] == [("1", 1, 2.0, "true", "x", None, None, "{}"), ("2", 3, 2.5, "no", None, None, None, '{"extra":"[1]"}')]
+    assert R.wide(raw.limit(0), ["a"]).count() == 0

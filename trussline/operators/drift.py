@@ -7,7 +7,7 @@ values, and then every file is read under one set of names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -232,19 +232,50 @@ def canonical_names(schemas: DataFrame, matched: DataFrame) -> DataFrame:
     return files.groupBy("feed_code").cogroup(matched.groupBy("feed_code")).applyInPandas(_replay, "feed_code string, file_no int, name string, first_name string")
 
 
-def unified(feed: DataFrame) -> DataFrame:
-    """All rows under one set of fields: feed_code, file_no, row_no, task_id and ``fields``.
-
-    ``fields`` maps each field's first name in its feed to the value as text; types that
-    changed are united as text, the one type all of them cast to. A null value stays null.
-    Every input row comes out once, repeated ones too.
-    """
+def _renamed(feed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed rows, the files' schemas, and each file's map from a field's name to its first name."""
     rows = cut(parsed(feed))
     schemas = cut(file_schemas(rows))
     pairs = cut(file_pairs(schemas))
     told = canonical_names(schemas, cut(renames(rows, pairs)))
-    of_file = schemas.select(*FILE).join(told.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", "first_name"))).alias("firsts")), FILE, "left")
+    firsts = schemas.select(*FILE).join(told.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", "first_name"))).alias("firsts")), FILE, "left")
+    return rows, schemas, cut(firsts)
+
+
+def _united(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     first = lambda n: F.coalesce(F.element_at("firsts", n), n)
     cells = F.transform("cells", lambda c: F.struct(first(c["name"]).alias("name"), c["val"].alias("val")))
     one = F.aggregate(cells, F.create_map().cast("map<string,string>"), lambda m, c: F.when(F.map_contains_key(m, c["name"]), m).otherwise(F.map_concat(m, F.create_map(c["name"], c["val"]))))
-    return salted_join(rows, of_file, FILE, None, F.col("task_id"), "left", salts=8).select(*FILE, "row_no", "task_id", one.alias("fields"))
+    return salted_join(rows, firsts, FILE, None, F.col("task_id"), "left", salts=8).select(*FILE, "row_no", "task_id", one.alias("fields"))
+
+
+def unified(feed: DataFrame) -> DataFrame:
+    """All rows under one set of fields: feed_code, file_no, row_no, task_id and ``fields``.
+
+    ``fields`` maps each field's first name in its feed to the value as text. A null value
+    stays null. Every input row comes out once, repeated ones too.
+    """
+    rows, _, firsts = _renamed(feed)
+    return _united(rows, firsts)
+
+
+def united_types(schemas: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(field, type): the least type that all of a field's values in all feeds cast to: its only
+    one, decimal for integer and decimal, and string for any others."""
+    each = schemas.join(firsts, FILE, "left").select("firsts", F.explode("fields").alias("f"))
+    kinds = each.groupBy(F.coalesce(F.element_at("firsts", F.col("f.name")), F.col("f.name")).alias("field")).agg(F.array_distinct(F.flatten(F.collect_set("f.types"))).alias("k"))
+    only = F.filter("k", lambda x: ~x.isin("integer", "decimal"))
+    return kinds.select("field", F.when(F.size("k") == 1, F.get("k", F.lit(0))).when((F.size("k") == 2) & (F.size(only) == 0), "decimal").otherwise("string").alias("type"))
+
+
+def wide(feed: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """All rows as one table: feed_code, file_no, row_no, task_id, a column of its united type
+    (see :func:`united_types`) for each of ``fields``, and ``other_fields`` as a JSON object of text.
+
+    A field that no file has is a null string. ``task_id`` is text, whatever its type.
+    """
+    rows, schemas, firsts = _renamed(feed)
+    types = {r["field"]: r["type"] for r in united_types(schemas, firsts).where(F.col("field").isin(*fields)).collect()}  # as many as ``fields``
+    sql = {"integer": "bigint", "decimal": "double", "boolean": "boolean"}
+    rest = F.map_filter("fields", lambda k, _: ~k.isin("task_id", *fields))
+    return _united(rows, firsts).select(*FILE, "row_no", "task_id", *[F.col("fields")[f].try_cast(sql.get(types.get(f, ""), "string")).alias(f) for f in fields], F.to_json(rest).alias("other_fields"))

@@ -46,16 +46,20 @@ def components(links: DataFrame) -> DataFrame:
     whole cycle.
     """
     state = cut(links.select("id", "parent", F.coalesce("parent", "id").alias("top"), F.col("parent").isNull().alias("done"), F.col("id").alias("low")))
-    settled, active = state.where("done"), state.where("not done")
+    active = state.where("not done")
     (moving, hot), cyclic = sketch(active, ["top"]), False
     while moving and not (cyclic and _all_round(active)):
-        ahead = (active if cyclic else active.unionByName(settled)).select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"), F.col("low").alias("_low"))
+        ahead = (active if cyclic else state).select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"), F.col("low").alias("_low"))
         met = salted_join(active, ahead, ["top"], one_of("top", hot["top"]), F.col("id"), "inner")
-        state = cut(met.select("id", "parent", F.col("_top").alias("top"), F.col("_done").alias("done"), F.least("low", "_low").alias("low")))
-        settled, active = settled.unionByName(state.where("done")), state.where("not done")
+        stepped = met.select("id", "parent", F.col("_top").alias("top"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"))
+        if cyclic:  # what settled stays where it is
+            active = cut(stepped)
+        else:
+            state = cut(stepped.unionByName(state.where("done")))
+            active = state.where("not done")
         left, hot = sketch(active, ["top"])
         cyclic, moving = cyclic or left == moving, left
-    state = settled.unionByName(active)
+    state = state.where("done").unionByName(active)
     if not moving:
         return state.select("id", "parent", F.col("top").alias("comp"), F.lit(False).alias("cyclic"))
     loops = state.where("not done")

@@ -56,11 +56,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One wide table: the fields of every row under the names they had first, as text."""
-    rows = drift.unified(load(spark, d, "task_feed"))
-    fields = ("task_code", "status_code", "target_end_date", "total_float_hr_cnt", "remain_drtn_hr_cnt", "driving_path_flag", "crt_path_num", "cstr_type2")
-    rest = F.map_filter("fields", lambda k, _: ~k.isin("task_id", *fields))
-    return rows.select("feed_code", "file_no", "row_no", "task_id", *[F.col("fields")[f].alias(f) for f in fields], F.to_json(rest).alias("other_fields"))
+    """One wide table: the fields of every row under the names they had first, in their united types."""
+    return drift.wide(load(spark, d, "task_feed"), ("task_code", "status_code", "target_end_date", "total_float_hr_cnt", "remain_drtn_hr_cnt", "driving_path_flag", "crt_path_num", "cstr_type2"))
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
