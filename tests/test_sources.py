@@ -41,6 +41,10 @@ def test_read_table_write_round_trip(spark, tmp_path):
 def test_calendar_grammar():
     text = "(0||CalendarData()((0||DaysOfWeek()((0||1()())(0||2()((0||0(s|08:00|f|16:00)())))(0||3()())))(0||Exceptions()((0||0(d|46023)())(0||1(d|46024)((0||0(s|08:00|f|12:00)())))))))"
     assert calendars.read_calendar(text) == ([1], ["2026-01-01"], ["2026-01-02"])
+    # Dates at other depths, with and without a group of their own; a serial out of range; older day spellings.
+    odd = "(0||Exceptions()((0||9(0||0(d|46026)()))(x(d|46027))(0||0(d|2026-01-06)((0||0(s|8:00|f|12:00)())))(0||0(d|99999)())))"
+    assert calendars.read_calendar(odd) == ([], ["2026-01-04", "2026-01-05"], ["2026-01-06"])
+    assert calendars.read_calendar("DaysOfWeek()((d|2)(d|6))")[0] == [1, 5] and calendars.read_calendar("DaysOfWeek()(d|3(s|08:00))")[0] == [2]
     assert calendars.read_calendar(None) == calendars.read_calendar("(((") == ([], [], [])
 
 

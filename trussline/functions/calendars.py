@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from trussline.functions.exprs import number
 
 SHAPE = "work_days array<int>, holidays array<string>, special_workdays array<string>"
+# A time slot of the format, and two older spellings of a work day.
 _SLOT = re.compile(r"\(s\|\d{1,2}:\d{2}\|f\|\d{1,2}:\d{2}\)")
 
 
+_OLD_DAYS = [r"\(d\|([1-7])\)", r"d\|([1-7])\(s\|"]
+
+
 def _inside(text: str, at: int) -> str:
     """The bracketed group that opens at or after ``at``, without its brackets."""
     start = text.find("(", at)
@@ -55,8 +59,9 @@ def _day(raw: str) -> str:
 def read_calendar(text: str | None) -> tuple[list[int], list[str], list[str]]:
     """Work days (0 is Sunday), holidays and special work days, each sorted and distinct.
 
-    A day of the week works if its group holds a time slot; an exception with a slot is a
-    special work day, one without a holiday. Null, empty and unreadable text gives none.
+    A day of the week works if its group holds a time slot. Dates of exceptions are looked for at
+    any depth: one followed by a group with a slot is a special work day, any other a holiday.
+    Null, empty and unreadable text gives none.
     """
     text = text or ""
     work: set[int] = set()
@@ -72,15 +77,19 @@ def read_calendar(text: str | None) -> tuple[list[int], list[str], list[str]]:
             if m and _SLOT.search(group):
                 work.add(int(m[1]) - 1)
         if not work:
-            work = {int(n) - 1 for n in re.findall(r"\(d\|([1-7])\)", body)} or {int(n) - 1 for n in re.findall(r"d\|([1-7])\(s\|", body)}
+            work = next((found for found in ({int(n) - 1 for n in re.findall(p, body)} for p in _OLD_DAYS) if found), set())
     at = text.find("Exceptions")
     if at >= 0:
         rest = text[at + len("Exceptions") :]
         body = _inside(rest, rest.find(")") + 1) if rest.startswith("()") else _inside(rest, 0)
-        for group in _groups(body):
-            m = re.search(r"d\|(\d{5,6}|\d{4}-\d{2}-\d{2})", group)
-            if m and (day := _day(m[1])):
-                (special if _SLOT.search(group) else holidays).add(day)
+        bare: set[str] = set()
+        for m in re.finditer(r"d\|(\d{4}-\d{2}-\d{2}|\d+)", body):
+            day, rest = _day(m[1]), body[m.end() :].removeprefix(")").lstrip(" \t\r\n")
+            if day and rest.startswith("("):
+                (special if _SLOT.search(_inside(rest, 0)) else holidays).add(day)
+            elif day:
+                bare.add(day)
+        holidays |= bare - special
     return sorted(work), sorted(holidays), sorted(special)
 
 

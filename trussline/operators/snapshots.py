@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,44 +71,54 @@ def snapshot_changes(snaps: DataFrame) -> DataFrame:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Older and newer pointer over rows sorted by task and snapshot."""
-    names = ["proj_id", "task_code", "snap_no", "kind", "old_status", "new_status", "old_end", "new_end"]
-    types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 5]
-    found: list[tuple] = []
-
-    def gone(row: tuple) -> None:
-        if row[4] is not None:
-            found.append((row[0], row[1], row[4], "removed", row[5], None, row[6], None))
-
-    def came(row: tuple) -> None:
-        if row[3] > 1:
-            found.append((row[0], row[1], row[2], "added", None, row[5], None, row[6]))
+    """Older and newer pointer over rows sorted by task and snapshot, a batch of pairs at a time.
 
-    def emit() -> pa.RecordBatch:
-        cols = zip(*found, strict=True)
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-        found.clear()
-        return batch
+    The newer pointer stands on every row once, the older one on the row before it; the last
+    row of a batch waits for the next.
+    """
+    names = ["proj_id", "task_code", "snap_no", "kind", "old_status", "new_status", "old_end", "new_end"]
+    waiting: pa.Table | None = None
+
+    def told(rows: pa.Table, kind: str, snap: str, old: pa.Table | None, new: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            none = pa.nulls(rows.num_rows, pa.string())
+            pick = lambda t, c: none if t is None else t[c]
+            cols = [rows["proj_id"], rows["task_code"], rows[snap], pa.array([kind], pa.string()).take(pa.array(np.zeros(rows.num_rows, dtype=np.int32))), pick(old, "status"), pick(new, "status"), pick(old, "end"), pick(new, "end")]
+            yield from pa.table(cols, names=names).combine_chunks().to_batches()
+
+    def gone(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.filter(pc.is_valid(rows["next_no"]))
+        yield from told(rows, "removed", "next_no", rows, None)
+
+    def came(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.filter(pc.greater(rows["nth"], 1))
+        yield from told(rows, "added", "snap_no", None, rows)
+
+    def same(a: pa.Table, b: pa.Table, *columns: str) -> pa.ChunkedArray:
+        """Row by row whether the columns agree, nulls with nulls."""
+        out = pa.chunked_array([pa.array(np.ones(a.num_rows, dtype=bool))])
+        for c in columns:
+            equal = pc.fill_null(pc.equal(a[c], b[c]), False)
+            out = pc.and_(out, pc.or_(equal, pc.and_(pc.is_null(a[c]), pc.is_null(b[c]))))
+        return out
 
-    old: tuple | None = None
     for batch in batches:
-        for new in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if old is None or old[0] != new[0] or old[1] != new[1]:
-                if old is not None:
-                    gone(old)
-                came(new)
-            elif new[2] == old[2]:
-                continue  # an earlier delivery of the same snapshot
-            elif new[3] == old[3] + 1:
-                if new[5] != old[5] or new[6] != old[6]:
-                    found.append((new[0], new[1], new[2], "changed", old[5], new[5], old[6], new[6]))
-            else:
-                gone(old)
-                came(new)
-            old = new
-        if found:
-            yield emit()
-    if old is not None:
-        gone(old)
-    if found:
-        yield emit()
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        first = waiting is None
+        rows = rows if first else pa.concat_tables([waiting, rows])
+        # Of the deliveries of one snapshot the first counts.
+        again = same(rows[1:], rows[:-1], "proj_id", "task_code", "snap_no")
+        rows = pa.concat_tables([rows[:1], rows[1:].filter(pc.invert(again))])
+        old, new = rows[:-1], rows[1:]
+        if first:
+            yield from came(rows[:1])
+        step = pc.and_(same(old, new, "proj_id", "task_code"), pc.equal(new["nth"], pc.add(old["nth"], 1)))
+        moved = pc.and_(step, pc.invert(same(old, new, "status", "end")))
+        yield from told(new.filter(moved), "changed", "snap_no", old.filter(moved), new.filter(moved))
+        yield from gone(old.filter(pc.invert(step)))
+        yield from came(new.filter(pc.invert(step)))
+        waiting = rows[-1:]
+    if waiting is not None:
+        yield from gone(waiting)

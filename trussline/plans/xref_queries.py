@@ -34,6 +34,14 @@ def _half(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
     return X.half_step(t["task"], spark.sql(_UPDATE.format(task="_lens_task"))).select("task_id", "status_code", "remain_drtn_hr_cnt", "act_start_date", "act_end_date", "early_start_date", "early_end_date", "matched", "progressed")
 
 
+def _hours(t: dict[str, DataFrame]) -> DataFrame:
+    return t["task"].join(t["calendar"].select("clndr_id", exprs.number("day_hr_cnt").alias("hpd")), "clndr_id", "left")
+
+
+_PHYSICAL = "case when cast(task_id as bigint) % 7 = 0 then cast(cast(task_id as bigint) % 130 as string) else '' end"
+_SERIALS = """select o_orderkey as k, case o_orderkey % 4 when 0 then cast(30000 + o_orderkey % 30000 as string) when 1 then substr(cast(o_orderdate as string), 1, 10) when 2 then cast(o_orderkey as string) || 'x' else '' end as raw from {orders}"""
+
+
 def _counts(t: dict[str, DataFrame], task: str, taskpred: str) -> DataFrame:
     n = lambda name, of: t[of].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
     return n("TASK", task).unionByName(n("TASKPRED", taskpred))
@@ -44,6 +52,10 @@ def _fields(df: DataFrame, name: str) -> DataFrame:
 
 
 _MAKE: dict[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]] = {
+    "b02_serial_dates": lambda s, t: s.sql(_SERIALS.format(orders="_lens_orders")).select("k", exprs.serial_date("raw").alias("day")),
+    "b08_durations": lambda s, t: _hours(t).select("task_id", exprs.days_or_zero("target_drtn_hr_cnt", F.col("hpd")).alias("days"), exprs.days_or_zero("remain_drtn_hr_cnt", F.col("hpd"), 1).alias("rounded")),
+    "b11_percent_complete": lambda s, t: t["task"].select("task_id", exprs.percent_complete(F.expr(_PHYSICAL), F.lit(""), F.col("target_drtn_hr_cnt"), F.col("remain_drtn_hr_cnt")).alias("pct")),
+    "f14_tiers": lambda s, t: t["task"].select(F.explode(F.array("cstr_type", "cstr_type2")).alias("code")).groupBy(exprs.tier(F.col("code")).alias("tier")).agg(F.count(F.lit(1)).alias("n")),
     "c01_wbs_paths": lambda s, t: X.wbs_paths(t["projwbs"]),
     "c02_task_resources": lambda s, t: X.task_resources(t["taskrsrc"], t["rsrc"]),
     "c03_adjacency": lambda s, t: X.adjacency(t["taskpred"]).select("task_id", F.array_join("predecessors", ",").alias("predecessors"), F.array_join("successors", ",").alias("successors")),
@@ -164,6 +176,11 @@ SQL: dict[str, str] = {
     "d11_wbs_rollup": CTES + " select p.wbs_id, wbs_name, count(task_id) as n from projwbs p left join task t on t.wbs_id = p.wbs_id group by all",
     "d12_resources": CTES + " select rsrc_id, count(*) as n_assignments, count(distinct task_id) as n_tasks from taskrsrc group by 1",
     "d13_constraints": CTES + f" select cstr_type, count(*) as n from task where {_WORK} and cstr_type <> '' group by 1",
+    "b02_serial_dates": "with s as (" + _SERIALS.format(orders="orders") + """), y as (select k, coalesce(case when regexp_full_match(raw, '[0-9]{5,6}') then date '1899-12-30' + cast(raw as integer) end, try_cast(case when regexp_full_match(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then raw end as date)) as d from s)
+ select k, case when year(d) between 1990 and 2050 then strftime(d, '%Y-%m-%d') else '' end as day from y""",
+    "b08_durations": CTES + " select task_id, coalesce(case when h > 0 then coalesce(try_cast(target_drtn_hr_cnt as double), 0) / h end, 0) as days, coalesce(case when h > 0 then round_even(coalesce(try_cast(remain_drtn_hr_cnt as double), 0) / h, 1) end, 0) as rounded from (select t.*, cast(c.day_hr_cnt as double) as h from task t left join calendar c using (clndr_id))",
+    "b11_percent_complete": CTES + f", x as (select task_id, try_cast({_PHYSICAL} as double) as p, try_cast(target_drtn_hr_cnt as double) as t, try_cast(remain_drtn_hr_cnt as double) as r from task) select task_id, case when p between 0 and 100 then p when t > 0 then greatest(0, least(100, 100 * (t - r) / t)) else 0 end::double as pct from x",
+    "f14_tiers": CTES + " select case when code in ('CS_MANDSTART', 'CS_MANDFIN') then 'ABSOLUTE' when code in ('CS_MSO', 'CS_MEO') then 'DATE' when code in ('CS_MSOA', 'CS_MSOB', 'CS_MEOA', 'CS_MEOB') then 'SOFT' when code = 'CS_ALAP' then 'PREFERENCE' end as tier, count(*) as n from (select unnest([cstr_type, cstr_type2]) as code from task) group by 1",
     "b04_work_days": _WORKED + f""" select task_id, case when b < a then 0 when a is not null and b is not null then len([x for x in range(a, b + interval 1 day, interval 1 day) if {_OK.format('x::date')}]) end::bigint as n_days,
  strftime([x for x in range(a + interval 1 day, a + interval 40 day, interval 1 day) if {_OK.format('x::date')}][5], '%Y-%m-%d') as plus_5, strftime([x for x in range((a - interval 1 day)::timestamp, (a - interval 40 day)::timestamp, interval '-1' day) if {_OK.format('x::date')}][3], '%Y-%m-%d') as minus_3 from y""",
     "b10_dates": "select distinct task_id, strftime(try_strptime(target_end_date, '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') as target_end, try_cast(nullif(trim(total_float_hr_cnt), '') as double) as float_hours, coalesce(try_cast(nullif(trim(target_drtn_hr_cnt), '') as double), 0) / 10 as days from task",
