@@ -228,3 +228,24 @@ def test_findings_are_counted_and_checked(spark):
     assert (n.n_block, n.n_warn, n.n_info, n.n_pass, n.has_blocking) == (0, 3, 1, 12, False)
     with pytest.raises(Exception, match="no severity"):
         spark.range(1).select(findings.severity(F.lit("FATAL"))).collect()
+
+
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_critical_activities_off_the_longest_path(spark, limit):
+    tasks = [{"task_id": "1", "remain_drtn_hr_cnt": "0"}, {"task_id": "2"}, {"task_id": "3"}, {"task_id": "4", "remain_drtn_hr_cnt": "0", "task_type": "TT_FinMile"}, {"task_id": "5", "total_float_hr_cnt": "80"}]
+    links = [("4", "1", "PR_FS", "0"), ("3", "2", "PR_FS", "-400"), ("4", "3", "PR_FS", "0")]
+    off = lambda rel: {r.task_id for r in S.off_longest_path(*tables(spark, tasks, rel)[1:], limit).collect()}
+    assert off(links) == {"1"}
+    # Started with its predecessor, or ended with it: five days in all.
+    assert off([("4", "1", "PR_FS", "0"), ("3", "2", "PR_SS", "0"), ("4", "3", "PR_FS", "0")]) == {"1"}
+    assert off([("4", "1", "PR_FS", "0"), ("3", "2", "PR_FF", "0"), ("4", "3", "PR_FF", "0"), ("2", "1", "PR_XX", "0")]) == set()
+    assert off([*links, ("2", "3", "PR_FS", "0")]) == set()
+
+
+def test_longest_paths_agree_either_way(spark):
+    rng = random.Random(21)
+    tasks = [{"task_id": f"{i:02d}", "remain_drtn_hr_cnt": str(8 * rng.randint(0, 9)), "total_float_hr_cnt": rng.choice(["0", "8"])} for i in range(40)]
+    links = [(f"{i:02d}", f"{j:02d}", rng.choice(["PR_FS", "PR_SS", "PR_FF", "PR_SF"]), "0") for i in range(40) for j in rng.sample(range(i), min(i, 2))]
+    _, t, e = tables(spark, tasks, links)
+    one, other = ({r.task_id for r in S.off_longest_path(t, e, n).collect()} for n in (10**6, 1))
+    assert one == other and one

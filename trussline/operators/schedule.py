@@ -294,6 +294,89 @@ def recommendations(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     ])
 
 
+# How a relationship of each type bounds the successor's start (S) by the predecessor's: with the
+# predecessor's and the successor's durations p and s, S >= P + p (FS), P (SS), P + p - s (FF), P - s (SF).
+_BOUND = {"PR_FS": (1, 0), "PR_SS": (0, 0), "PR_FF": (1, -1), "PR_SF": (0, -1)}
+
+
+def _off_longest(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Critical activities of one project with slack on its longest path; none if its logic is cyclic."""
+    span = dict(zip(nodes["task_id"], nodes["span"], strict=True))
+    ahead: dict[str, list[tuple[str, float]]] = {}
+    waits = dict.fromkeys(span, 0)
+    for s, p, k in zip(links["task_id"], links["pred_task_id"], links["pred_type"], strict=True):
+        a, b = _BOUND.get(k, _BOUND["PR_FS"])
+        ahead.setdefault(p, []).append((s, a * span[p] + b * span[s]))
+        waits[s] += 1
+    order, start = deque(t for t, n in waits.items() if n == 0), dict.fromkeys(span, 0.0)
+    done: list[str] = []
+    while order:
+        t = order.popleft()
+        done.append(t)
+        for s, gap in ahead.get(t, ()):
+            start[s] = max(start[s], start[t] + gap)
+            waits[s] -= 1
+            if waits[s] == 0:
+                order.append(s)
+    if len(done) < len(span):
+        return nodes.loc[[], ["task_id"]].assign(proj_id=key[0])
+    end = max((start[t] + span[t] for t in done), default=0.0)
+    late = {t: end - span[t] for t in done}
+    for t in reversed(done):
+        late[t] = min([late[t], *(late[s] - gap for s, gap in ahead.get(t, ()))])
+    off = {t for t in done if late[t] - start[t] > 1e-9}
+    return nodes.loc[nodes["cp"] & nodes["task_id"].isin(off), ["task_id"]].assign(proj_id=key[0])
+
+
+def _relaxed(state: DataFrame, links: DataFrame, most: int) -> DataFrame | None:
+    """``state`` (id, at) raised along ``links`` (id, other, gap) until at[other] >= at[id] + gap
+    holds for all, or None if that takes more than ``most`` rounds: then the links run in a circle."""
+    state = cut(state)
+    for _ in range(most + 1):
+        pushed = state.join(links, "id").groupBy(F.col("other").alias("id")).agg(F.max(F.col("at") + F.col("gap")).alias("push"))
+        raised = cut(state.join(pushed, "id", "left").select("id", F.greatest("at", "push").alias("at"), F.coalesce(F.col("push") > F.col("at") + 1e-9, F.lit(False)).alias("moved")))
+        state = raised.select("id", "at")
+        if raised.where("moved").isEmpty():
+            return state
+    return None
+
+
+def off_longest_path(tasks: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
+    """proj_id, task_id of critical activities that the network alone does not make critical.
+
+    The network holds the project's work activities with their remaining durations in days, and
+    the relationships between them without lags; an unknown type counts as finish to start.
+    Off the longest path is what could start later without moving the network's end. A project
+    whose logic is cyclic has no longest path and no rows. Projects of more than ``max_edges``
+    activities and relationships are not put into one task: starts are raised by joins, one
+    step of the network a round.
+    """
+    span = days("remain_drtn_hr_cnt", "hpd")
+    nodes = tasks.where("work").select("proj_id", "task_id", "cp", F.greatest(span, F.lit(0.0)).alias("span"))
+    inside = edges.where(F.col("succ_work") & F.col("pred_work") & (F.col("succ_proj_id") == F.col("pred_proj_id")))
+    links = inside.select(F.col("succ_proj_id").alias("pid"), "task_id", "pred_task_id", "pred_type")
+    n, m = nodes.groupBy("proj_id").agg(F.count(F.lit(1)).alias("_n")), links.groupBy(F.col("pid").alias("proj_id")).agg(F.count(F.lit(1)).alias("_m"))
+    sizes = cut(n.join(m, "proj_id", "left").select("proj_id", "_n", (F.col("_n") + F.coalesce("_m", F.lit(0)) > max_edges).alias("large")))
+    nodes, links = nodes.join(sizes.drop("_n"), "proj_id"), links.join(sizes.select(F.col("proj_id").alias("pid"), "large"), "pid")
+    out = nodes.where("not large").drop("large").groupBy("proj_id").cogroup(links.where("not large").drop("large").groupBy("pid")).applyInPandas(_off_longest, "task_id string, proj_id string").select("proj_id", "task_id")
+    for big in (r["proj_id"] for r in sizes.where("large").toLocalIterator()):  # one at a time, each larger than max_edges
+        own, rel = nodes.where(F.col("proj_id") == big), links.where(F.col("pid") == big)
+        spans = lambda p: own.select(F.col("task_id").alias(f"{p}_id"), F.col("span").alias(f"{p}_span"))  # noqa: E731, B023
+        kind = lambda i: F.coalesce(*[F.when(F.col("pred_type") == k, F.lit(v[i])) for k, v in _BOUND.items()], F.lit(_BOUND["PR_FS"][i]))
+        gaps = cut(rel.join(spans("s"), F.col("task_id") == F.col("s_id")).join(spans("p"), F.col("pred_task_id") == F.col("p_id")).select("p_id", "s_id", (kind(0) * F.col("p_span") + kind(1) * F.col("s_span")).alias("gap")))
+        most = own.count()
+        start = _relaxed(own.select(F.col("task_id").alias("id"), F.lit(0.0).alias("at")), gaps.select(F.col("p_id").alias("id"), F.col("s_id").alias("other"), "gap"), most)
+        if start is None:
+            continue
+        known = own.select(F.col("task_id").alias("id"), "span", "cp")
+        end = start.join(known, "id").agg(F.max(F.col("at") + F.col("span"))).first()[0]
+        # The latest starts are found from the end: what is left after an activity's start.
+        left = _relaxed(known.select("id", F.col("span").alias("at")), gaps.select(F.col("s_id").alias("id"), F.col("p_id").alias("other"), "gap"), most)
+        off = start.join(left.withColumnRenamed("at", "left"), "id").join(known, "id").where(F.col("cp") & (F.lit(end) - F.col("left") - F.col("at") > 1e-9))
+        out = out.unionByName(off.select(F.lit(big).alias("proj_id"), F.col("id").alias("task_id")))
+    return out
+
+
 # --- Health checks -------------------------------------------------------------------------
 
 # Thresholds of the bundled profiles (commercial, nuclear, mining).

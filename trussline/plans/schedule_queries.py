@@ -47,6 +47,7 @@ _MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "f01_activities": lambda t: S.critical_activities(t.tasks, t.edges),
     "f02_constraint_driven": lambda t: S.constraint_driven(t.project, t.tasks),
     "f02_breakdown": lambda t: S.constraint_breakdown(t.tasks),
+    "f02_off_longest_path": lambda t: S.off_longest_path(t.kept().tasks, t.edges),
     "f03_open_ends": lambda t: S.open_ends(t.kept().tasks, t.edges),
     "f03_score": lambda t: S.open_end_score(t.project, t.kept().tasks, S.open_ends(t.tasks, t.edges)),
     "f04_relationships": lambda t: S.relationship_quality(t.project, t.edges),
