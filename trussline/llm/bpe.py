@@ -167,17 +167,20 @@ def _fold(pairs: Column, word: Column) -> Column:
     a neighbour that is no piece.
     """
     none = F.lit(NEVER << 16 | NEVER).cast("long")
-    joined = lambda *parts: F.flatten(F.array(*parts))
 
     def start(codes: Column) -> Column:
-        inner = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: pairs["first"][a * 256 + b])
-        return joined(F.array(none), inner, F.array(pairs["last"][F.get(codes, F.size(codes) - 1)], none))
+        inner = F.transform(codes, lambda c, i: F.coalesce(pairs["first"][c * 256 + F.get(codes, i + 1)], pairs["last"][c]))
+        return F.concat(F.array(none), inner, F.array(none))
 
     def step(state: Column, _: Column) -> Column:
         def merged(k: Column) -> Column:
             new = F.shiftright(F.get(state, k - 1), 16)
-            two = F.array(_numbered(pairs, _own(F.get(state, k - 2)), new), _numbered(pairs, new, _own(F.get(state, k + 1))))
-            return joined(F.slice(state, F.lit(1), k - 2), two, F.slice(state, k + 2, F.size(state)))
+
+            def moved(number: Column, i: Column) -> Column:
+                own = F.when(i == k, F.lit(None).cast("long")).when(i == k - 1, _numbered(pairs, new, _own(F.get(state, k + 1))))
+                return own.when(i == k - 2, _numbered(pairs, _own(number), new)).otherwise(number)
+
+            return F.filter(F.transform(state, moved), lambda number: number.isNotNull())
 
         least = F.array_min(state)
         return F.when(least >= NEVER << 16, state).otherwise(_let(F.array_position(state, least).cast("int"), merged))
