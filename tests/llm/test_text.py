@@ -169,6 +169,20 @@ def test_damage_without_suspect_characters_does_not_teach_the_model(spark):
     assert got == {f"Wykoñczenie {i}": (f"Wykończenie {i}", True) for i in range(3)}
 
 
+def test_every_clean_name_counts_for_the_margin(spark):
+    clean = [f"Ã {a}{b}{c}{d} m³" for a in "aeiou" for b in "lmnprst" for c in "aeiou" for d in "lmnpr"] + ["ó"]
+    rows = names(spark, [*clean, *["ó"] * 29, "Ã³"])
+    # The damage of one short name among 876 gains little, which lowers the margin for all.
+    assert [(r.name, r.restored) for r in mojibake.garbled(rows).collect()] == [("Ã³", "ó")]
+    told, margin = mojibake.scored(mojibake.shapes_of(rows))
+    assert {r["shape"] for r in told.where("clean").select("shape").collect()} == set(clean)
+    model = mojibake.train(mojibake.shapes_of(rows.where("name <> 'Ã³'")))
+    good, bad = [model.best(x)[0] for x in clean], [model.best(h)[0] for x in clean for h in mojibake.damaged(x)]
+    errors = {m: 5 * sum(g > m for g in good) / len(good) + sum(b <= m for b in bad) / len(bad) for m in mojibake.LEVELS}
+    best = [m for m, e in errors.items() if e <= min(errors.values()) + 1e-9]
+    assert len(bad) >= 8 * len(clean) and margin == best[len(best) // 4]
+
+
 def test_digits_return_to_their_places(spark):
     df = spark.createDataFrame([("a00b0", "a12b3"), ("0", "7"), ("ab", "ab"), ("a0", "a"), (None, "1")], "shape string, name string")
     assert [r[0] for r in df.select(mojibake.with_digits(F.col("shape"), F.col("name"))).collect()] == ["a12b3", "7", "ab", None, None]

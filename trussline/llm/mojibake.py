@@ -3,13 +3,12 @@
 A smoothed character trigram model is trained on the clean names. Every candidate chain
 (encode with the wrong encoding, decode with the right one) of a suspect name is scored by
 it, and the likeliest is accepted if it beats the name as it stands by a margin that is
-validated on clean names and on names damaged on purpose.
+validated on all clean names and on each of them damaged on purpose in every known way.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +20,14 @@ from trussline.operators.common import cut, salted_join
 
 #: Buckets of the hashed n-gram table: bounds the model, whatever the corpus.
 BUCKETS = 1 << 18
-#: Names drawn to validate the margin, at most.
-SAMPLE = 600
+#: Gains among which the margin is chosen.
+LEVELS = [m / 2 for m in range(2, 41)]
 
 # Encodings that text is read with by mistake, and that it was written in.
 WRONG = ["cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "iso8859_2", "cp1253"]
 RIGHT = ["cp1251", "koi8_r", "cp866", "iso8859_5", "iso8859_2", "cp1250", "cp1253", "iso8859_7", "cp932", "euc_jp", "big5", "cp1252", "cp437", "cp850", "mac_roman"]
+#: Damage that the margin is validated on: written as the first, read as the second.
+DAMAGE = [("utf-8", w) for w in WRONG] + [("cp1251", "cp1252"), ("iso8859_2", "cp1252"), ("cp932", "cp1252"), ("cp1253", "cp1252")]
 #: Names without these serve for training: replacement and C1 characters, marks or symbols
 #: beside another non-ASCII character, three accented Latin letters in a row, a Latin-1 sign
 #: inside a word, and letters of two scripts side by side.
@@ -140,6 +141,17 @@ def candidates(text: str) -> Iterator[tuple[str, bool, float]]:
                     yield back[0], back[1] > 0, 3.0 + 4.0 * back[1]
 
 
+def damaged(text: str) -> Iterator[str]:
+    """``text`` after each :data:`DAMAGE` that applies to it and changes it."""
+    for wrote, read in DAMAGE:
+        try:
+            hurt = text.encode(wrote).decode(read, "replace")
+        except UnicodeEncodeError:
+            continue
+        if hurt != text:
+            yield hurt
+
+
 class Model:
     """Interpolated character trigram model over a hashed count table of fixed size."""
 
@@ -165,13 +177,18 @@ class Model:
             total += p
         return total
 
-    def best(self, text: str) -> tuple[float, str | None, bool]:
-        """Gain of the likeliest chain over the text as it stands, its result, whether lossy."""
+    def best(self, text: str, enough: float = math.inf) -> tuple[float, str | None, bool]:
+        """Gain of the likeliest chain over the text as it stands, its result, whether lossy.
+
+        The first chain that gains more than ``enough`` will do, where only that is asked.
+        """
         base, top = self.score(text), (-math.inf, None, False)
         for cand, lossy, cost in candidates(text):
             gain = self.score(cand) - base - cost - lossy
             if gain > top[0]:
                 top = (gain, cand, lossy)
+                if gain > enough:
+                    break
         return top
 
 
@@ -202,35 +219,31 @@ def train(clean: DataFrame) -> Model:
     return Model(counts)
 
 
-def validated_margin(model: Model, clean: list[str], seed: int = 7) -> float:
-    """Least gain at which clean names and names damaged on purpose are told apart best."""
-    rng = random.Random(seed)
-    wide = [x for x in clean if not x.isascii()]
-    good = [model.best(x)[0] for x in wide]
-    bad = []
-    for x in wide:
-        pairs = [("utf-8", w) for w in WRONG[:5]] + [("cp1251", "cp1252"), ("iso8859_2", "cp1252"), ("cp932", "cp1252"), ("cp1253", "cp1252")]
-        wrote, read = rng.choice(pairs)
-        try:
-            hurt = x.encode(wrote).decode(read, "replace")
-        except UnicodeEncodeError:
-            continue
-        if hurt != x:
-            bad.append(model.best(hurt)[0])
-    if not good or not bad:
+def validated_margin(told: DataFrame) -> float:
+    """Least gain at which clean names and names damaged on purpose are told apart best.
+
+    ``told``: rows of :data:`SCORED`. All clean shapes and all their damages are counted, by level;
+    one row of counts for each of the two comes to the driver.
+    """
+    over = lambda gains: gains.agg(F.count(F.lit(1)), *[F.count_if(F.col("gain") > m) for m in LEVELS]).first()
+    clean = told.where("clean")
+    n_good, *good = over(clean)
+    n_bad, *bad = over(clean.select(F.explode("hurt").alias("gain")))
+    if not n_good or not n_bad:
         return 6.0
-    levels = [m / 2 for m in range(2, 41)]
-    errors = lambda m: 5 * sum(g > m for g in good) / len(good) + sum(b <= m for b in bad) / len(bad)
-    least = min(map(errors, levels))
-    best = [m for m in levels if errors(m) <= least + 1e-9]
+    errors = [5 * g / n_good + (n_bad - b) / n_bad for g, b in zip(good, bad, strict=True)]
+    best = [m for m, e in zip(LEVELS, errors, strict=True) if e <= min(errors) + 1e-9]
     return best[len(best) // 4]
 
 
-SCORED = "shape string, n long, back string, gain double, lost boolean"
+SCORED = "shape string, n long, clean boolean, back string, gain double, lost boolean, hurt array<double>"
 
 
 def _gains(shapes: DataFrame, model: Model) -> DataFrame:
-    """Rows of :data:`SCORED` for shapes with a character beyond ASCII."""
+    """Rows of :data:`SCORED` for shapes (shape, n, clean) with a character beyond ASCII.
+
+    ``hurt`` holds the gains of a clean shape's damages, exact up to the highest of :data:`LEVELS`.
+    """
     sent = shapes.sparkSession.sparkContext.broadcast(model.counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,13 +251,14 @@ def _gains(shapes: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             best = [own.best(x) for x in pdf["shape"]]
             yield pd.DataFrame({
-                "shape": pdf["shape"], "n": pdf["n"], "back": [None if lossy else back for _, back, lossy in best], "gain": [gain if gain > -math.inf else None for gain, _, _ in best],
+                "shape": pdf["shape"], "n": pdf["n"], "clean": pdf["clean"], "back": [None if lossy else back for _, back, lossy in best], "gain": [gain if gain > -math.inf else None for gain, _, _ in best],
                 "lost": [any(c == "\ufffd" or "\x80" <= c < "\xa0" for c in x) for x in pdf["shape"]],
+                "hurt": [[own.best(h, LEVELS[-1])[0] for h in damaged(x)] if clean else [] for x, clean in zip(pdf["shape"], pdf["clean"], strict=True)],
             })
 
     # A number of its own, since few bytes make much work here and would be put into one task.
     tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shapes.select("shape", "n").repartition(tasks, "shape").mapInPandas(run, SCORED)
+    return shapes.select("shape", "n", "clean").repartition(tasks, "shape").mapInPandas(run, SCORED)
 
 
 def scored(shapes: DataFrame) -> tuple[DataFrame, float]:
@@ -254,15 +268,15 @@ def scored(shapes: DataFrame) -> tuple[DataFrame, float]:
     way, or no chain applies); ``lost`` if the shape holds a replacement or C1 control character.
     Shapes that pass for clean but gain by a chain under a first model are left out of the
     training of the second, which counts: some damage leaves no suspect character behind.
+    The others are ``clean``, and the margin is validated on every one of them.
     """
     wide, plain = F.col("shape").rlike(r"[^\x00-\x7F]"), ~F.col("shape").rlike(SUSPECT)
-    passing = shapes.where(wide & plain)
-    first = cut(_gains(passing, train(shapes.where(plain))))
-    clean = cut(first.where("gain is null or gain <= 0").select("shape", "n"))
-    model = train(clean.unionByName(shapes.where(~wide)))
-    drawn = clean.orderBy(F.xxhash64("shape"), "shape").limit(SAMPLE)
-    margin = validated_margin(model, [r["shape"] for r in drawn.select("shape").collect()])
-    return _gains(shapes.where(wide), model), margin
+    not_clean = shapes.select("*", F.lit(False).alias("clean"))
+    first = cut(_gains(not_clean.where(wide & plain), train(shapes.where(plain))))
+    passing = first.select("shape", "n", F.coalesce(F.col("gain") <= 0, F.lit(True)).alias("clean"))
+    model = train(passing.where("clean").select("shape", "n").unionByName(shapes.where(~wide)))
+    told = cut(_gains(passing.unionByName(not_clean.where(wide & ~plain)), model))
+    return told, validated_margin(told)
 
 
 def with_digits(shape: Column, name: Column) -> Column:
@@ -284,7 +298,6 @@ def garbled(names: DataFrame) -> DataFrame:
     """
     shapes = cut(shapes_of(names))
     told, margin = scored(shapes)
-    told = cut(told)
     bad = told.where((F.col("gain") > margin) | F.col("lost")).select("shape", "n", "back", "gain", F.coalesce(F.col("gain") > margin, F.lit(False)).alias("by_model"))
     often = [r["shape"] for r in bad.where(F.col("n") >= 0.02 * max(1, told.agg(F.sum("n")).first()[0] or 0)).select("shape").collect()]  # 50 at most
     wide = names.where(F.col("name").rlike(r"[^\x00-\x7F]")).select("tab", "rec_id", "name", masked("name").alias("shape"))
