@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,22 @@ def test_cut_within_a_long_address(spark):
     assert got == {len(whole)}
 
 
+def test_words_and_trigrams_are_cheap_and_the_same(spark):
+    plain = r"[\\p{L}0.+-]++@[\\p{L}0.-]*+|[\\p{L}\\p{M}0&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]++|[.!?。…:>-]|[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]"
+    one = spark.range(0x110000).where("id not between 55296 and 57343").selectExpr("decode(unhex(case when id < 65536 then lpad(hex(id), 4, '0') else concat(hex(55296 + shiftright(id - 65536, 10)), hex(56320 + ((id - 65536) & 1023))) end), 'UTF-16BE') as c").selectExpr("c", "concat('a', c, 'b ', c, '.x@', c, '0') as t")
+    words = lambda c, by: F.expr(f"regexp_extract_all({c}, '{by}', 0)")
+    assert one.agg(F.countDistinct("c"), F.max(F.length("c"))).first() == (0x110000 - 2048, 1)
+    assert one.where((words("c", plain) != words("c", truncation._WORD)) | (words("t", plain) != words("t", truncation._WORD))).count() == 0
+    texts = [[], ["a"], ["a", "b", "c"], ["a", "b", "c", "d"], ["検", "b", "検", "b", "検", "b", "検", "."]]
+    rows = spark.createDataFrame([(w, len(w)) for w in texts], "w array<string>, n int")
+    inside = truncation._sql(truncation.INSIDE, words=rows)
+    want = Counter((f"{w[i - 2]} {w[i - 1]}", w[i]) for w in texts for i in range(2, len(w) - 1))
+    assert {(r.a, r.b): r.n for r in inside.collect()} == want
+    assert "lambda" not in inside._jdf.queryExecution().optimizedPlan().toString(), "each trigram is interpreted"
+    scripts = truncation._WORD.split("&&")
+    assert len(scripts) == 3 and scripts[1].startswith(r"[\\x00-\\u2E7F["), "the script of each letter is searched for"
+
+
 def test_damage_without_suspect_characters_does_not_teach_the_model(spark):
     clean = [c.format(i) for i in range(200) for c in CLEAN]
     sly = [f"Wykoñczenie {i}" for i in range(3)]

@@ -24,8 +24,9 @@ TERMINAL_SHARE = 0.05
 WORD_SHARE = 0.01
 
 # A word is an e-mail address, a run of letters and digits (which count as 0), one
-# character of a script without spaces, or a mark that ends a sentence.
-_WORD = r"[\\p{L}0.+-]++@[\\p{L}0.-]*+|[\\p{L}\\p{M}0&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]++|[.!?。…:>-]|[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]"
+# character of a script without spaces, or a mark that ends a sentence. The first characters of
+# these scripts are at U+2E80: below, no script is looked up, which takes a search each.
+_WORD = r"[\\p{L}0.+-]++@[\\p{L}0.-]*+|[\\p{L}\\p{M}0&&[\\x00-\\u2E7F[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]]++|[.!?。…:>-]|[\\u2E80-\\x{10FFFF}&&[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]"
 
 #: Beginnings of words are met exactly up to so many characters, longer ones by these and as a whole.
 BEGIN = 16
@@ -51,12 +52,13 @@ worded as (
 select doc_id, source, unclosed, closed, broken_escape, parted, w, size(w) as n from worded
 """
 
-# Trigrams inside texts: the two words before, the word, and how often.
+# Trigrams inside texts: the two words before, the word, and how often. They are counted by their
+# three words and joined after, as often as there are different ones; no word has a blank.
 INSIDE = """
-select g.a as a, g.b as b, count(*) as n from (
-  select explode(transform(sequence(2, n - 2), i -> struct(concat_ws(' ', w[i - 2], w[i - 1]) as a, w[i] as b))) as g
-  from @words where n > 3)
-group by g.a, g.b
+select concat_ws(' ', x, y) as a, z as b, count(*) as n from (
+  select g.`0` as x, g.`1` as y, g.`2` as z from (
+    select explode(arrays_zip(slice(w, 1, n - 3), slice(w, 2, n - 3), slice(w, 3, n - 3))) as g from @words where n > 3))
+group by x, y, z
 """
 
 # The last trigram of each text.
